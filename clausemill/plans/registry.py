@@ -1,0 +1,11 @@
+"""All queries over the driver's tables, by name, and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "canonical_fingerprint"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
