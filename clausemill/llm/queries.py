@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language_id
 from .mixing import op1_source_mix
+from .packing import op4_best_fit_packing
 from .simhash import op2_simhash_neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
