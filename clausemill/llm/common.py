@@ -48,6 +48,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """df with a unique number (_row) for each row, as a stored table: two scans of one input need not split it alike."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int = 1024) -> DataFrame:
     """df with the rank (long, from 0) of each row among those of equal keys.
 

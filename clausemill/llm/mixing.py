@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_rank, stored, table
+from .common import numbered_rows, spread_rank, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -147,10 +147,9 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs as the mix takes them: a row taken twice is there twice, one not taken is not.
 
-    docs must be read from files (rows get their number from the scan). Columns
-    stay as they are, also those named like the ones mix() adds.
+    Columns stay as they are, also those named like the ones mix() adds.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = numbered_rows(docs)
     copies = mix(numbered, [id_col, "_row"], **how).select(F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
     taken = numbered.join(copies.where("_copies > 0"), F.col("_row") == F.col("_r"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

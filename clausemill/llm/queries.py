@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_language_id
+from .maintext import op6_main_text
 from .mixing import op1_source_mix
 from .packing import op4_best_fit_packing
 from .simhash import op2_simhash_neardup
+from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_main_text": op6_main_text,
     "op9_language_id": op9_language_id,
 }
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, table
+from .common import LOWER, numbered_rows, stored, table
 
 WIDTHS = (22, 21, 21)
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code.
@@ -252,11 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component the row of the smallest id stays, and of its repeats one.
-
-    docs must be read from files: rows get their number from the scan.
-    """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The rows of docs without near copies: of each component the row of the smallest id stays, and of its repeats one."""
+    numbered = numbered_rows(docs)
     found = near_duplicates(numbered.select("_row", F.col(text_col).alias("_text")), "_row", "_text")
     ids = numbered.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))
     kept = found.join(ids, F.col("_row") == F.col("_r")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_r")).alias("k"))
