@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitsliced import ORACLE as OP5_SQL
+from .bitsliced import op5_bit_sliced_topk
 from .langid import op9_language_id
 from .maintext import op6_main_text
 from .mixing import op1_source_mix
@@ -18,8 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_main_text": op6_main_text,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_bit_sliced_topk": OP5_SQL,
+}
