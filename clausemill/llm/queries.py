@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bitsliced import ORACLE as OP5_SQL
 from .bitsliced import op5_bit_sliced_topk
 from .langid import op9_language_id
+from .licences import op7_licence_scan
 from .maintext import op6_main_text
 from .mixing import op1_source_mix
+from .multiindex import op10_multi_index_ann
 from .packing import op4_best_fit_packing
+from .ppm import op8_ppm_score
 from .simhash import op2_simhash_neardup
 from .warc import op3_warc
 
@@ -22,7 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bit_sliced_topk": op5_bit_sliced_topk,
     "op6_main_text": op6_main_text,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_ppm_score": op8_ppm_score,
     "op9_language_id": op9_language_id,
+    "op10_multi_index_ann": op10_multi_index_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
