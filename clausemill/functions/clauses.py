@@ -1,8 +1,9 @@
 """Segmentation of canonical text into headings and numbered clauses.
 
-A line is a row of tokens (runs without white space). A clause can only end at
-the end of a token, so every decision is about a token and its neighbours, and a
-line of any length is read once.
+A clause ends where a line ends, or at a place in it that one pattern finds: the
+end of a sentence or of an item of an inline list. What the pattern can't tell
+(abbreviations, numbers, titles, lengths) is decided for these places alone, so
+a line of any length is read once.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ ABBREVIATIONS = frozenset(
     "e.u a.m p.m jan feb mar apr jun jul aug sep sept oct nov dec pty ref".split()
 )
 SMALL_WORDS = frozenset("a an and as at by for from in into of on or the to with your our its".split())
-STOP = re.compile(r"([.!?])[\"'”’)\]]*$")
-OPENING = re.compile(r"[\"'“‘(\[]?[A-Z0-9À-Þ]")
-ITEM = re.compile(r"\((?:[a-z]|[ivx]{1,4}|\d{1,2})\)")
+BOUNDARY = re.compile(
+    r"(?P<stop>[.!?])[\"'”’)\]]*(?=\s+[\"'“‘(\[]?[A-Z0-9À-Þ])"
+    r"|;(?=\s+(?:(?:and|or)\s+)?\((?:[a-z]|[ivx]{1,4}|\d{1,2})\)\s)"
+)
 INITIALS = re.compile(r"[a-z](?:\.[a-z])*")
 LIST_NUMBER = re.compile(r"\(?(?:\d+(?:\.\d+)*|[ivxlc]+|[a-z])[.)]?", re.IGNORECASE)
 NUMBERING = re.compile(r"(?:#+\s*)?(?:(?:section|article|part|clause|schedule)\s+)?(?:\d+(?:\.\d+)*|[IVXLC]+|[A-Z])[.)]?\s+", re.IGNORECASE)
@@ -49,8 +51,10 @@ def is_heading(line: str) -> bool:
     line = line.strip()
     if line.startswith("#"):
         return len(line) <= HEADING_CHARS
+    if not line or len(line) > HEADING_CHARS or line[-1] in ".;,!?":
+        return False
     letters = sum(map(str.isalpha, line))
-    if not letters or len(line) > HEADING_CHARS or line[-1] in ".;,!?":
+    if not letters:
         return False
     if letters >= 3 and sum(c.isupper() for c in line if c.isalpha()) / letters >= 0.9 and len(line.split()) <= CAPITALS_WORDS:
         return True
@@ -63,31 +67,23 @@ def is_inline_title(piece: str) -> bool:
     return piece.endswith(".") and 1 <= len(words) <= TITLE_WORDS and _title_case(words)
 
 
-def _only_abbreviates(token: str, dot: int, first: bool) -> bool:
-    """Whether the full stop at `dot` belongs to the token rather than ends a sentence."""
-    word = token[: dot + 1].lstrip("(\"'“‘[").rstrip(".").lower()
-    return word in ABBREVIATIONS or INITIALS.fullmatch(word) is not None or first and LIST_NUMBER.fullmatch(token[: dot + 1]) is not None
-
-
-def _ends_here(token: str, after: list[str], first: bool) -> bool:
-    """Whether a clause ends after a token. after: up to three tokens that follow."""
-    stop = STOP.search(token)
-    if stop:
-        return OPENING.match(after[0]) is not None and not (stop[1] == "." and _only_abbreviates(token, stop.start(), first))
-    if token[-1] == ";":
-        k = 1 if after[0] in ("and", "or") and len(after) > 1 else 0
-        return ITEM.fullmatch(after[k]) is not None and len(after) > k + 1
-    return False
+def _only_abbreviates(text: str, start: int, dot: int) -> bool:
+    """Whether the full stop at `dot` of the line from `start` belongs to its token rather than ends a sentence."""
+    token = text[max(start, text.rfind(" ", start, dot)) : dot + 1].split()[-1]
+    word = token.lstrip("(\"'“‘[").rstrip(".").lower()
+    if word in ABBREVIATIONS or INITIALS.fullmatch(word):
+        return True
+    return len(token) == dot + 1 - start and LIST_NUMBER.fullmatch(token) is not None
 
 
 def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    spans = [m.span() for m in TOKEN.finditer(text, start, end)]
-    tokens = [text[a:b] for a, b in spans]
-    first = 0
-    for i in range(len(spans)):
-        if i == len(spans) - 1 or tokens[i][-1] in ".!?;\"'”’)]" and _ends_here(tokens[i], tokens[i + 1 : i + 4], i == 0):
-            yield spans[first][0], spans[i][1]
-            first = i + 1
+    """Sentences and list items of a line, trimmed. Only places that look like a boundary are considered."""
+    first = start
+    for m in BOUNDARY.finditer(text, start, end):
+        if m["stop"] != "." or not _only_abbreviates(text, start, m.start()):
+            yield first, m.end()
+            first = TOKEN.search(text, m.end(), end).start()
+    yield first, end
 
 
 def _grouped(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -85,7 +85,7 @@ def part_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else split_text(x, most) for x in texts.to_pylist()], pa.list_(pa.string()))
 
-    rows = docs.select(id_col, F.posexplode(F.arrow_udf(run, "array<string>")(F.col(text_col))).alias("pos", "text"))
+    rows = docs.select(id_col, F.posexplode_outer(F.arrow_udf(run, "array<string>")(F.col(text_col))).alias("pos", "text")).where("pos is not null")
     return rows.select(id_col, (F.col("pos") + 1).alias("part_no"), "text")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.canonical import fingerprint, with_canonical
 from ..functions.clauses import segments
-from ..functions.findings import KEPT, RANK, company_names, expand, read, rules
+from ..functions.findings import KEPT, RANK, company_names, expand, needed_literals, read, rules
 
 FINDING = "rule string, topic string, favours string, confidence string, reading string, quote_start int, quote_end int"
 READING = (
@@ -55,8 +55,9 @@ def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def finding_rows(read_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, clause_id, rn, rule, topic, favours, confidence, quote_start, quote_end and quote of every finding; rn 1 is the clause's label."""
-    clauses = read_docs.select(id_col, "text", F.inline("reading.readings")).withColumnRenamed("id", "clause_id")
-    rows = clauses.select(id_col, "text", "clause_id", F.posexplode("findings").alias("pos", "f"))
+    # Outer forms: an inferred filter on the arrays would run the reading twice.
+    clauses = read_docs.select(id_col, "text", F.inline_outer("reading.readings").alias("clause_id", "findings"))
+    rows = clauses.select(id_col, "text", "clause_id", F.posexplode_outer("findings").alias("pos", "f")).where("pos is not null")
     quote = F.substring("text", F.col("f.quote_start") + 1, F.col("f.quote_end") - F.col("f.quote_start"))
     return rows.select(id_col, "clause_id", (F.col("pos") + 1).alias("rn"), "f.rule", "f.topic", "f.favours", "f.confidence", "f.quote_start", "f.quote_end", quote.alias("quote"))
 
@@ -80,6 +81,18 @@ def _any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _matched(body: Column, low: Column, pattern: str, options: str = "i") -> Column:
+    """Whether the pattern matches; only run on bodies with one of the literals that every match needs."""
+    found = body.rlike(f"(?{options})" + pattern)
+    literals = sorted(needed_literals(pattern))
+    if not literals:
+        return found
+    some = low.contains(literals[0])
+    for x in literals[1:]:
+        some = some | low.contains(x)
+    return some & found
+
+
 def rule_hits(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     """A row for each clause and plain rule with a match, its confidence and rank; boolean, all in the JVM.
 
@@ -87,20 +100,20 @@ def rule_hits(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     clause's hits are an array that is then unfolded. Quotes, negation and
     subject are the exact reading's business.
     """
-    hits = []
+    hits, body, low = [], F.col(body_col), F.col("_low")
     for r in plain_rules():
         by_level: dict[str, list[str]] = {}
         for p, level in r.patterns:
             by_level.setdefault(level, []).append(expand(p, tail=False))
         level = F.lit(None).cast("string")
         for name in sorted(by_level, key=RANK.get):
-            level = F.when(F.col(body_col).rlike("(?i)" + _any_of(by_level[name])), F.lit(name)).otherwise(level)
+            level = F.when(_matched(body, low, _any_of(by_level[name])), F.lit(name)).otherwise(level)
         if r.strong:
-            level = F.when((level == "medium") & F.col(body_col).rlike("(?i)" + expand(r.strong)), F.lit("high")).otherwise(level)
+            level = F.when((level == "medium") & _matched(body, low, expand(r.strong)), F.lit("high")).otherwise(level)
         if r.unless:
-            level = F.when(~F.col(body_col).rlike("(?is)" + expand(r.unless)), level)
+            level = F.when(~_matched(body, low, expand(r.unless), "is"), level)
         hits.append(F.struct(F.lit(r.no).alias("rule_no"), F.lit(r.id).alias("rule_id"), F.lit(r.topic).alias("topic"), F.lit(r.favours).alias("favours"), F.lit(r.weight).alias("weight"), level.alias("confidence")))
-    rows = bodies.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h["confidence"].isNotNull())))
+    rows = bodies.withColumn("_low", F.lower(body)).withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h["confidence"].isNotNull())))
     rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
     return rows.select(*[c for c in bodies.columns if c != body_col], "_hit.*").withColumn("conf_rank", rank[F.col("confidence")])
 

@@ -3,32 +3,28 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.clauses import segments
 
-SEGMENTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("clause_id", T.IntegerType())]))
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("clause_id", T.IntegerType()), T.StructField("body", T.StringType())]))
 
 
 @F.arrow_udf(SEGMENTS)
 def segments_of(texts: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("clause_id", pa.int32())]))
-    return pa.array([None if x is None else [{"kind": s.kind, "start": s.start, "end": s.end, "clause_id": s.id} for s in segments(x)] for x in texts.to_pylist()], kind)
-
-
-def sliced(text: Column, start: Column, end: Column) -> Column:
-    """Code points from start up to end."""
-    return F.substring(text, start + 1, end - start)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("clause_id", pa.int32()), ("body", pa.string())]))
+    return pa.array([None if x is None else [{"kind": s.kind, "start": s.start, "end": s.end, "clause_id": s.id, "body": x[s.start : s.end]} for s in segments(x)] for x in texts.to_pylist()], kind)
 
 
 def segment_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, seg_no, kind, start, end, clause_id and body of every segment of canonical texts."""
-    parts = docs.select(F.col(id_col), F.col(text_col).alias("_t"), segments_of(F.col(text_col)).alias("_s"))
-    rows = parts.select(id_col, "_t", F.posexplode("_s").alias("seg_no", "s"))
-    return rows.select(id_col, "seg_no", "s.kind", "s.start", "s.end", "s.clause_id", sliced(F.col("_t"), F.col("s.start"), F.col("s.end")).alias("body"))
+    # Bodies come with the segments: the text itself isn't carried through the unfolding. The outer form keeps the
+    # optimizer from testing the array in a filter of its own, for which it would compute everything twice.
+    rows = docs.select(id_col, segments_of(F.col(text_col)).alias("_s")).select(id_col, F.posexplode_outer("_s").alias("seg_no", "s")).where("seg_no is not null")
+    return rows.select(id_col, "seg_no", "s.kind", "s.start", "s.end", "s.clause_id", "s.body")
 
 
 def clause_rows(segments_df: DataFrame) -> DataFrame:
