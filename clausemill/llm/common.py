@@ -48,9 +48,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of a row as one struct (doc): whatever they are called, they meet no other names, and doc.* gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+
+
 def numbered_rows(df: DataFrame) -> DataFrame:
-    """df with a unique number (_row) for each row, as a stored table: two scans of one input need not split it alike."""
-    return stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """doc (the whole row) and row (a unique number), as a stored table: two scans of one input need not split it alike."""
+    return stored(df.select(whole_rows(df), F.monotonically_increasing_id().alias("row")), "rows")
 
 
 def spread_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int = 1024) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, table, whole_rows
 
 BUCKET_BITS, DIM, CHUNK = 14, 16, 1 << 18
 #: Labelled rows that the model is fitted on at most, in expectation, shared evenly by the languages; and passes over them.
@@ -178,8 +178,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language isn't rejected, with their columns as they are."""
     model = fit_model(docs, id_col, text_col, lang_col)
-    found = docs.withColumn("_found", identify(docs, F.col(text_col), model))
-    return found.where(~F.col("_found.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(whole_rows(docs), identify(docs, F.col(text_col), model).alias("found"))
+    return found.where(~F.col("found.rejected")).select("doc.*")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

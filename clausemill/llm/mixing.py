@@ -144,15 +144,16 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
     return rows.select(*[c.alias(name) for c, name in zip(ids, id_cols)], "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("int").alias("copies"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs as the mix takes them: a row taken twice is there twice, one not taken is not.
 
     Columns stay as they are, also those named like the ones mix() adds.
     """
     numbered = numbered_rows(docs)
-    copies = mix(numbered, [id_col, "_row"], **how).select(F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
-    taken = numbered.join(copies.where("_copies > 0"), F.col("_row") == F.col("_r"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = numbered.select(F.col(f"doc.`{id_col}`").alias("id"), "row", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source"))
+    copies = mix(own, ["id", "row"], **how).where("copies > 0").select(F.col("row").alias("taken_row"), "copies")
+    taken = numbered.join(copies, F.col("row") == F.col("taken_row"))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:

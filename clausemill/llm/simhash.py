@@ -254,10 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each component the row of the smallest id stays, and of its repeats one."""
     numbered = numbered_rows(docs)
-    found = near_duplicates(numbered.select("_row", F.col(text_col).alias("_text")), "_row", "_text")
-    ids = numbered.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))
-    kept = found.join(ids, F.col("_row") == F.col("_r")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_r")).alias("k"))
-    return numbered.join(kept.select(F.col("k._r").alias("_r")), F.col("_row") == F.col("_r"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(numbered.select("row", F.col(f"doc.`{text_col}`").alias("text")), "row", "text").select(F.col("row").alias("r"), "component_id")
+    ids = numbered.select("row", F.col(f"doc.`{id_col}`").alias("id"))
+    kept = found.join(ids, F.col("row") == F.col("r")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "r")).alias("k"))
+    return numbered.join(kept.select(F.col("k.r").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_semi").select("doc.*")
 
 
 def op2_simhash_neardup(spark, sf_dir: str) -> DataFrame:
