@@ -26,6 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option iframe object svg canvas audio video map dialog menu".split())
 PROSE = frozenset("p li blockquote pre h1 h2 h3 h4 h5 h6 dd table".split())
+LISTS = frozenset("div ul ol dl table section".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -171,6 +172,9 @@ def main_text(html: str | None) -> str:
         chosen |= {i for i in range(body + 1, n) if within[i] and parent[i] in on_way and i not in on_way and dense[i] >= limit and prose[i] and chars[i] > 2 * link_chars[i]}
         if tag[core] in INLINE or tag[core] in PROSE:
             chosen.add(parent[core] if core != body else body)
+        # A block in which links make up more than half is a menu, whatever it is called.
+        for i in range(body + 1, n):
+            out[i] = out[i] or out[parent[i]] or tag[i] in LISTS and 2 * link_chars[i] > chars[i] > 0
     kept = [False] * n
     for i in range(n):
         kept[i] = not out[i] and (i in chosen or i > 0 and kept[parent[i]])
