@@ -159,6 +159,19 @@ def frequent_table(keys: np.ndarray, n: np.ndarray, slots: int = SLOTS) -> tuple
     return held, count
 
 
+def least_frequent(tokens: DataFrame, most: int = FREQUENT) -> int:
+    """A count that at most `most` tokens reach. Counts are tallied in steps of a sixteenth of an octave, so nothing is sorted."""
+    step = F.floor(F.log2("n") * 16)
+    tally = sorted(tokens.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.min("n")).collect(), reverse=True)  # a few hundred rows
+    least, held = 1 << 62, 0
+    for _, n, low in tally:
+        held += n
+        if held > most:
+            break
+        least = low
+    return least
+
+
 class Scores:
     """Rows of all documents of a task: kind 0 has what is known of a document, kind 1 a token that is still to be joined."""
 
@@ -212,7 +225,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens = counts.where("not leaf").select("key", "n")
     total, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     leaves = counts.where("leaf").select("key", "n").toArrow()  # at most LEAVES rows
-    often = tokens.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    often = tokens.where(F.col("n") >= least_frequent(tokens)).toArrow()  # at most FREQUENT rows
     lengths = code_lengths(leaves["key"].to_numpy(), leaves["n"].to_numpy())
     held, count = frequent_table(often["key"].to_numpy(), often["n"].to_numpy())
     del leaves, often
