@@ -75,7 +75,7 @@ def lenient_int(text: Column, default: int) -> Column:
 
 def origins(text: Column) -> Column:
     """A comma-separated list, trimmed, without empty entries."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def utc_day(ts: Column) -> Column:
