@@ -71,7 +71,7 @@ def payloads(read_docs: DataFrame, pipeline: str, id_col: str = "doc_id") -> Dat
 def read_labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """slug, text and hand labels of a folder of <slug>.txt and <slug>.analysis.json."""
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1)
-    texts = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(slug.alias("slug"), F.col("value").alias("text"))
+    texts = spark.read.text(f"{folder}/*.txt", wholetext=True).select(slug.alias("slug"), F.col("value").alias("text"))
     shape = "clauses array<struct<id int, quote string, favours string, reading string, confidence string>>"
     labels = spark.read.schema(shape).option("multiLine", True).json(f"{folder}/*.analysis.json").select(slug.alias("slug"), "clauses")
     return texts.join(labels, "slug")
