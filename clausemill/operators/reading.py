@@ -49,7 +49,10 @@ def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, text (canonical), sha256 and reading of every document. Equal texts are read once, and found by their fingerprint."""
     own = with_canonical(docs.select(id_col, F.col(text_col).alias("text")))
     own = own.withColumn("sha256", fingerprint(F.col("text")))
-    once = own.select("sha256", "text").dropDuplicates(["sha256"]).select("sha256", reading_of(F.col("text")).alias("reading"))
+    # A stated number of partitions isn't coalesced by size: reading costs far more than the bytes suggest.
+    session = docs.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    once = own.select("sha256", "text").repartition(n, "sha256").dropDuplicates(["sha256"]).select("sha256", reading_of(F.col("text")).alias("reading"))
     return own.join(once, "sha256", "left").select(id_col, "text", "sha256", "reading")
 
 

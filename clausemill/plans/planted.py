@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
+
 CLAUSES = (
     "You agree to binding arbitration, and no court will hear your case.",
     "Any dispute shall be resolved by arbitration in the city we name.",
@@ -40,7 +42,7 @@ def _pick(n: Column) -> Column:
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with three planted clauses below a heading: doc_id, source, lang, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     i = F.col("doc_id")
     text = F.concat_ws("\n", F.col("text"), F.lit(HEADING), _pick(i), _pick(i * 7 + 3), _pick(i * 11 + 5))
     return docs.select("doc_id", "source", "lang", text.alias("text"))

@@ -11,7 +11,8 @@ from ..functions import text as tx
 from ..functions.canonical import fingerprint, with_canonical
 from ..functions.findings import RANK
 from ..operators import analytics, parts, quota, routing, verification
-from ..operators.reading import finding_rows, read_documents, rule_hits, rule_hits_sql, rule_table, plain_rules, top_findings
+from ..operators.layout import spread
+from ..operators.reading import finding_rows, read_documents, plain_rules, rule_hits, rule_hits_sql, rule_table, top_findings
 from ..operators.segmentation import line_rows, segment_rows
 from ..sources import store
 from ..sources.html import html_text
@@ -46,7 +47,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = (
         F.when(F.col("doc_id") % 3 == 0, F.replace(t, F.lit(" "), F.lit(chr(160) + " "))).when(F.col("doc_id") % 3 == 1, F.replace(t, F.lit("\n"), F.lit("\r\n"))).otherwise(F.replace(t, F.lit(" "), F.lit(" " + chr(8203))))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\t"), changed, F.lit("\f"), F.lit("End"), F.lit("\x07"), F.lit(" ")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit("\t"), changed, F.lit("\f"), F.lit("End"), F.lit("\x07"), F.lit(" ")).alias("text"))
 
 
 def _canonical_sql(relation: str) -> str:
@@ -75,7 +76,7 @@ def canonical_nfc(spark, sf_dir):
 
 @query(f"SELECT sha256, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(text) AS sha256 FROM ({_canonical_sql('SELECT doc_id, text FROM documents')})) GROUP BY sha256")
 def dedup_by_fingerprint(spark, sf_dir):
-    own = with_canonical(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", fingerprint(F.col("text")).alias("sha256"))
+    own = with_canonical(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", fingerprint(F.col("text")).alias("sha256"))
     return own.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
 
 

@@ -173,7 +173,7 @@ def test_tidy():
     s, e = tidy(body, body.index("refundable"), body.index("refundable") + 4)
     assert body[s:e] == "refundable, apply to all of the plans"
     s, e = tidy("There are no refunds, ever.", 10, 20)  # a mark right after a short match must not stop the widening
-    assert "There are no refunds, ever."[s:e] == "no refunds, ever"
+    assert "There are no refunds, ever."[s:e] == "no refunds, ever."
     body = 'It is "provided as is" here and there for everybody who asks for it.'
     s, e = tidy(body, 7, 22)
     assert body[s:e].count('"') % 2 == 0 or body[s:e].startswith('"')
