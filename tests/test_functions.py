@@ -31,9 +31,10 @@ def test_canonical(raw):
     assert canonical(raw) == RAW[raw] and canonical(canonical(raw)) == canonical(raw)
 
 
-def test_canonical_columns_agree(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_canonical_columns_agree(spark, native):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*RAW, None])], "doc_id long, text string")
-    got = {r.doc_id: r for r in with_canonical(df).withColumn("key", fingerprint(F.col("text"))).collect()}
+    got = {r.doc_id: r for r in with_canonical(df, native=native).withColumn("key", fingerprint(F.col("text"))).collect()}
     for i, (raw, want) in enumerate(RAW.items()):
         assert got[i].text == want, repr(raw)
     assert got[len(RAW)].text is None
