@@ -26,7 +26,7 @@ BUCKET_BITS, DIM, CHUNK = 14, 16, 1 << 18
 #: Labelled rows that the model is fitted on at most, in expectation, shared evenly by the languages; and passes over them.
 SAMPLE, EPOCHS, RATE, SEED = 2000, 12, 0.5, 5
 #: One in ASIDE of the sample calibrates; REJECTED of these may be below the limit before it is moved towards chance, to LENIENT of the way.
-ASIDE, REJECTED, LENIENT = 5, 0.0005, 0.25
+ASIDE, REJECTED, LENIENT = 5, 0.0005, 0.05
 UNKNOWN = "und"
 
 
