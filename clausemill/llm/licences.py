@@ -87,9 +87,11 @@ def phrase_places(words: list[bytes]) -> tuple[int, int | None, int | None, str]
     starts, labels = [], set()
     for phrase, label in PHRASES:
         wanted = f" {phrase} ".encode()
-        at = joined.find(wanted)
+        at, counted, word = joined.find(wanted), 0, 0
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", counted, at)
+            counted = at
+            starts.append(word)
             labels.add(label)
             at = joined.find(wanted, at + 1)
     return len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))

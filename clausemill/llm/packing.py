@@ -14,8 +14,10 @@ once where a packing meets the lower bound, total length over capacity.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,10 +48,11 @@ class TokenIds:
 
     Merging is done by tiktoken with the same vocabulary as ranks, several
     times faster; the first pieces of every worker are compared with
-    `tokenizers`, and a difference is an error. Strings of special tokens are
-    ordinary text. A token never spans from another character to the white
-    space after it, so a text is cut before single spaces, and the ids of short
-    frequent pieces are remembered, up to REMEMBERED of them.
+    `tokenizers`, and a difference is an error. Strings of the vocabulary's
+    added tokens give their ids wherever they stand, as they do there. A token
+    never spans from another character to the white space after it, so a text
+    is cut before single spaces, and the ids of short frequent pieces are
+    remembered, up to REMEMBERED of them.
     """
 
     def __init__(self, json_path: str, ranks_path: str) -> None:
@@ -61,7 +64,12 @@ class TokenIds:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        with open(json_path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that take in what stands beside them aren't supported")
+        self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.compared = 0
         outer = self
 
@@ -87,6 +95,11 @@ class TokenIds:
         return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.marks and self.marks.search(text):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.marks.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         parts = text.split(" ")
         if len(parts) < 3 or parts[0][-1:].isspace():
             return self.direct(text)

@@ -145,7 +145,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (record, k, so_far, last) in enumerate(zip(*(b.column(c).to_pylist() for c in ("record", "chunk", "sha1_so_far", "last")))):
             data = memoryview(datas[i].as_buffer())
             if k == 0:
-                fields, at = parse_head(bytes(data[: 64 << 10]))
+                fields, at = parse_head(bytes(data))  # the head and a chunk at most
                 digest, n = hashlib.sha1(), 0
             else:
                 at = 0
