@@ -125,14 +125,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
 
 
 def fit_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int = 3, held_out: int = 1) -> Model:
-    """Fits on labelled rows outside the held-out fold. The rows come by a hash of the id; their n-gram counts, not their texts, reach the driver."""
+    """Fits on labelled rows outside the held-out fold. The rows come by a hash of id and text, repeated rows once, so no id or copy swells the sample; their n-gram counts, not their texts, reach the driver."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where((fold(id_col, folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     tally = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not tally:
         return train([])
     each, whole = SAMPLE / len(tally), 1 << 24
     share = F.create_map(*[F.lit(x) for lang, n in sorted(tally.items()) for x in (lang, min(whole, round(whole * each / n)))])
-    some = usable.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(whole)) < share[F.col("lang")])
+    some = usable.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(whole)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +144,7 @@ def fit_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds:
                 n.append(found[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("lang"), pa.array(idx, pa.binary()), pa.array(n, pa.binary())], names=["id", "lang", "idx", "n"])
 
-    rows = some.mapInArrow(count, "id string, lang string, idx binary, n binary").collect()
+    rows = some.mapInArrow(count, "id string, lang string, idx binary, n binary").distinct().collect()
     rows = sorted((r.lang, r.id or "", bytes(r.idx), bytes(r.n)) for r in rows if r.idx)
     return train([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(n, "<f4").astype(np.float64), lang) for lang, _, i, n in rows])
 
