@@ -4,9 +4,12 @@ A text is the mean of the embeddings of its letter 1-, 2- and 3-grams (with word
 ends), each hashed to a bucket. Embeddings and softmax are trained together by
 stochastic gradient descent on a bounded sample of labelled rows; a part of the
 sample that is kept aside sets the temperature of the confidence and the
-confidence below which a text is rejected. After training, embedding and softmax
-are one table of a row per bucket and a column per language, so a prediction
-sums table rows.
+confidence below which a text is rejected. A text in none of the languages can
+still be confident, since its n-grams fall into buckets of other ones, so a text
+is rejected as well if its n-grams fall into known buckets about as often as
+random ones do rather than as those of the part kept aside. After training,
+embedding and softmax are one table of a row per bucket and a column per
+language, so a prediction sums table rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ BUCKET_BITS, DIM, CHUNK = 14, 16, 1 << 18
 SAMPLE, EPOCHS, RATE, SEED = 2000, 12, 0.5, 5
 #: One in ASIDE of the sample calibrates; REJECTED of these may be below the limit before it is moved towards chance, to LENIENT of the way.
 ASIDE, REJECTED, LENIENT = 5, 0.0005, 0.05
+#: Texts that a bucket must occur in to be known.
+KNOWN_IN = 2
 UNKNOWN = "und"
 
 
@@ -60,23 +65,26 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    known: np.ndarray  # by bucket
+    least_known: float
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """None if the text has no letter."""
-        total, n = np.zeros(len(self.langs)), 0
+    def logits(self, text: str) -> tuple[np.ndarray | None, float]:
+        """None if the text has no letter; and the share of its n-grams that are in known buckets."""
+        total, n, known = np.zeros(len(self.langs)), 0, 0
         for b in buckets(text):
             n += len(b)
+            known += np.count_nonzero(self.known[b])
             total += self.scores[b].sum(axis=0, dtype=np.float64) if len(b) < 4096 else np.bincount(b, minlength=len(self.scores)) @ self.scores
-        return total / n + self.bias if n else None
+        return (total / n + self.bias, known / n) if n else (None, 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, confidence and whether the text is rejected; ties go to the first language by name."""
-        z = self.logits(text) if text and self.langs else None
+        z, known = self.logits(text) if text and self.langs else (None, 0.0)
         if z is None:
             return UNKNOWN, 0.0, True
         p = _softmax(z / self.temperature)
         best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.reject_below)
+        return self.langs[best], float(p[best]), bool(p[best] < self.reject_below or known < self.least_known)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -84,12 +92,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def least_known(own: float, random: float) -> float:
+    """The share of known n-grams at which a text is as likely in a language learned (share `own`) as made of random buckets."""
+    own = min(own, 0.999)
+    if not 0 < random < own:
+        return 0.0
+    for_known, for_unknown = np.log(own / random), np.log((1 - random) / (1 - own))
+    return float(for_unknown / (for_known + for_unknown))
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     """rows: (buckets, counts, language) of each sampled text, in a fixed order."""
     langs = sorted({r[2] for r in rows})
     size = 1 << BUCKET_BITS
     if not langs:
-        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(size, bool), 0.0)
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(rows))
     aside = order[: len(rows) // ASIDE] if len(rows) >= 20 * len(langs) else order[:0]
@@ -111,8 +128,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
             bias -= rate * 0.1 * g
             emb[idx] -= rate * 8 * np.outer(w, back)
     scores = (emb @ weight).astype(np.float32)
-    model = Model(langs, scores, bias, 1.0, 0.0)
+    known = sum((np.bincount(data[k][0], minlength=size) for k in fit), np.zeros(size, np.int64)) >= KNOWN_IN
+    model = Model(langs, scores, bias, 1.0, 0.0, known, 0.0)
     if len(aside):
+        model.least_known = least_known(float(np.mean([data[k][1] @ known[data[k][0]] for k in aside])), float(known.mean()))
         z = np.stack([data[k][1] @ scores[data[k][0]] + bias for k in aside])
         y = np.array([data[k][2] for k in aside])
         grid = [0.5 * 1.25**i for i in range(16)]
@@ -165,8 +184,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """id, held_out, lang_pred, score and rejected of every row of docs.
 
     Null texts and texts without a letter are `und` with score 0 and rejected;
-    all others get a learned language, and rejected says whether the score is
-    below the calibrated limit. Null ids are in fold 0. Without labelled rows
+    all others get a learned language, and rejected says whether the score or
+    the share of known n-grams is below its calibrated limit. Null ids are in fold 0. Without labelled rows
     nothing is learned and every text is `und`. Repeated rows get the same
     result each. Of other columns nothing is read.
     """

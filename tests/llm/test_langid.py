@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
-from clausemill.llm.langid import BUCKET_BITS, CHUNK, buckets, detect, known_language, train
+from clausemill.llm import langid
+from clausemill.llm.langid import BUCKET_BITS, CHUNK, buckets, detect, known_language, least_known, train
+from pyspark.sql import functions as F
 
 SYLLABLES = {"xx": "ba be bi bo bu da de".split(), "yy": "kra klo pst ñu ñe ört".split(), "zz": "the ing ation ou ea".split()}
 
@@ -48,6 +50,25 @@ def test_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == len(rows) - 3
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    strangers = ["Съешь же ещё этих мягких булок", "今日はいい天気ですね", "vqx wjq zxv qqj wvz"]
+    rows = documents(600) + [(2000 + i, t, None, "s") for i, t in enumerate(strangers)]
+    rejected = {r.doc_id for r in detect(frame(spark, rows)).where("rejected").collect()}
+    assert rejected == {2000, 2001, 2002}
+    assert known_language(frame(spark, rows)).count() == 600
+    assert least_known(0.98, 0.3) > 0.5 and least_known(0.2, 0.3) == 0.0 and least_known(1.0, 0.0) == 0.0
+
+
+def test_a_hot_id_does_not_swell_the_sample(spark):
+    hot = next(i for i in range(400, 500) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = documents(300) + [(hot, "ba be bi bo", "xx", "s")] * 300
+    fitted = langid.fit_model(frame(spark, rows), "doc_id", "text", "lang")
+    once = langid.fit_model(frame(spark, rows[:301]), "doc_id", "text", "lang")
+    assert fitted.langs == ["xx", "yy", "zz"] and np.array_equal(fitted.scores, once.scores)
+    none = frame(spark, [(None, f"ba be {'bi ' * (i % 50)} {i * 'be '}", "xx", "s") for i in range(6000)])
+    assert none.where(F.pmod(F.xxhash64(F.lit(langid.SEED), "doc_id", "text"), F.lit(6000)) < langid.SAMPLE).count() < 1.2 * langid.SAMPLE
+
+
 def test_nothing_to_learn_from(spark):
     none = frame(spark, [(1, "ba", None, None), (2, None, None, None)])
     assert {(r.lang_pred, r.score) for r in detect(none).collect()} == {("und", 0.0)}

@@ -56,6 +56,13 @@ def test_archive_is_a_valid_file(spark, tmp_path):
     assert sorted(map(tuple, again.collect()), key=str) == expected(rows)
 
 
+def test_long_and_odd_urls(spark):
+    rows = [(1, "http://x/" + "u" * 200_000, "a" * 2000), (2, "http://x/é 語", "a" * 2000), (3, "", "a" * 70_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = read_archive(stored(to_archive(df), "t")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
 def test_empty(spark):
     _, df = pages(spark)
     assert read_archive(to_archive(df.limit(0))).count() == 0
