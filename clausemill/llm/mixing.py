@@ -112,7 +112,7 @@ def _plans(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pdf[pdf["size"] <= 0][["source", "size"]].assign(k=0)])
 
 
-def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, order_cols: list[str] | None = None) -> DataFrame:
     """id_cols, size, source_size, target, taken and copies of every row of docs.
 
     size: words of the text (null: 0). A source's target is its share of
@@ -120,11 +120,13 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
     source. copies: how often the mix takes the document whole; taken: copies
     times size. Null sources are one source, ordered last. A document without
     words is taken with every whole pass and adds nothing. Repeated rows are
-    taken one by one. An empty table gives an empty result. Other columns,
+    taken one by one. Which documents of a length are taken is decided by
+    order_cols (else id_cols), so these must not depend on how the rows are
+    dealt. An empty table gives an empty result. Other columns,
     whatever their names, aren't looked at.
     """
     sized = stored(
-        docs.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols or id_cols)], F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "sizes",
     )
     whole = F.round(F.col("target")).cast("long")
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
     # A group has a row for each distinct length of the source: no more than its longest document has words.
     plan = owed.groupBy("source").applyInPandas(_plans, "source string, size long, k long")
     ids = [F.col(f"_id{i}") for i in range(len(id_cols))]
-    ranked = spread_rank(sized, ["source", "size"], [F.lit(seed), *ids], "_rank")
+    ranked = spread_rank(sized, ["source", "size"], [F.lit(seed), *[F.col(f"_o{i}") for i in range(len(order_cols or id_cols))]], "_rank")
     plan = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "k")
     rows = ranked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
     rows = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
@@ -147,11 +149,15 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs as the mix takes them: a row taken twice is there twice, one not taken is not.
 
-    Columns stay as they are, also those named like the ones mix() adds.
+    Columns stay as they are, also those named like the ones mix() adds. Row
+    numbers change with the way a table is dealt, so which rows are taken goes
+    by id and text; only among rows equal in both do the numbers decide.
     """
     numbered = numbered_rows(docs)
-    own = numbered.select(F.col(f"doc.`{id_col}`").alias("id"), "row", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source"))
-    copies = mix(own, ["id", "row"], **how).where("copies > 0").select(F.col("row").alias("taken_row"), "copies")
+    own = numbered.select(F.col(f"doc.`{id_col}`").alias("id"), "row", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{source_col}`").alias("source"), F.xxhash64(F.col(f"doc.`{text_col}`")).alias("text_hash"))
+    repeated = own.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.lit(True).alias("again"))
+    own = own.join(stored(repeated, "repeated"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left").withColumn("tie", F.when(F.col("again"), F.col("row")).otherwise(0))
+    copies = mix(own, ["id", "row"], order_cols=["id", "text_hash", "tie"], **how).where("copies > 0").select(F.col("row").alias("taken_row"), "copies")
     taken = numbered.join(copies, F.col("row") == F.col("taken_row"))
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 

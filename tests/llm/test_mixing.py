@@ -84,6 +84,18 @@ def test_repeats_empty_table_and_rows(spark):
     assert out.where("doc_id = 1 and size = 'c' and target = 1 and _row = 'r'").count() == 4
 
 
+def test_the_rows_taken_do_not_depend_on_how_the_table_is_dealt(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("ab" for _ in range(rng.randint(1, 9))), f"s{i % 3}", None, None, None) for i in range(600)] + [(1000, "x y", "s1", "c", 1, "r")] * 40
+    df = documents(spark, rows)
+
+    def taken(df):
+        return sorted(map(tuple, mixed_rows(df).select("doc_id", "text").collect()))
+
+    once = taken(df)
+    assert once == taken(df.repartition(3)) == taken(df.repartition(7, "text")) and len(once) > 600
+
+
 def test_all_sources_at_their_cap(spark):
     rows = [(i, "a b c", "s", None, None, None) for i in range(4)]
     got = mix(documents(spark, rows), ["doc_id"], share=2.0).collect()
