@@ -110,3 +110,55 @@ def test_no_training_rows_and_empty(spark):
     r = score(frame(spark, [(held, "ab", None, None)])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0.0) and r.score == pytest.approx(-3 * math.log10(256), rel=1e-5)
     assert score(frame(spark, documents()).limit(0)).count() == 0
+
+
+class DeepTrie(Trie):
+    """Contexts of any order, longest first."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            data = bytes(order) + t + b"\0"
+            for i in range(order, len(data)):
+                for k in range(order + 1):
+                    self.seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def log(self, context, byte):
+        excluded, p = set(), 1.0
+        for k in range(self.order, -1, -1):
+            left = {s: n for s, n in self.seen.get(context[self.order - k :], {}).items() if s not in excluded}
+            total, kinds = sum(left.values()), len(left)
+            if byte in left:
+                return math.log10(p * left[byte] / (total + kinds))
+            if kinds:
+                p *= kinds / (total + kinds)
+            excluded |= set(left)
+        return math.log10(p / (256 - len(excluded)))
+
+    def score(self, t):
+        data = bytes(self.order) + t + b"\0"
+        return sum(self.log(data[i - self.order : i], data[i]) for i in range(self.order, len(data)))
+
+
+@pytest.mark.parametrize("order, small", [(3, False), (5, False), (5, True), (6, False)])
+def test_deep_trie_against_brute_force(spark, monkeypatch, order, small):
+    rows = documents()
+    if small:  # many chunks, long texts in windows, groups cut from batches
+        for name, value in (("TOGETHER", 64), ("CHUNK", 500), ("HELD", 80)):
+            monkeypatch.setattr(ppm, name, value)
+    got = sorted((tuple(r) for r in score(frame(spark, rows), order=order).collect()), key=lambda r: (str(r[0]), r[2], r[6]))
+    trie = DeepTrie([low(t).encode() for i, t, *_ in rows if fold(i) != 2], order)
+    flat = score(frame(spark, rows)).collect()
+    want = sorted(((i, trie.score(low(t).encode())) for i, t, *_ in rows), key=lambda r: (str(r[0]), r[1]))
+    got.sort(key=lambda r: (str(r[0]), r[6]))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[6] for g in got] == pytest.approx([w[1] for w in want], rel=1e-5)
+    assert sorted(map(str, (g[:5] for g in got))) == sorted(str(tuple(r)[:5]) for r in flat)
+
+
+def test_registered_query_looks_further_than_two_bytes(spark, tmp_path):
+    held = [i for i in range(200) if fold(i) == 2][:1]
+    rows = [(i, "abcdx abcdx" if i % 2 else "zbcdy zbcdy", "a", 1.0) for i in range(200) if fold(i) != 2] + [(held[0], "abcdx abcdx", "a", 1.0)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in ppm.op8_ppm_score(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > score(frame(spark, rows)).where(f"doc_id = {held[0]}").first().score + 0.5  # what follows "bcd" depends on the byte before
