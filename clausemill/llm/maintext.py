@@ -58,6 +58,7 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.out, self.marked, self.text = ["#page"], [-1], [False], [False], []
+        self.beside = [False]  # as marked, for article elements too
         self.path = [0]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -80,7 +81,8 @@ class Tree(HTMLParser):
         self.parent.append(path[-1])
         in_article = any(tags[k] in ("article", "main") for k in path)
         self.out.append(tag in DROPPED or tag == "header" and not in_article)
-        self.marked.append(tag not in ("html", "body", "main", "article") and bool(attrs) and marked(attrs))
+        self.beside.append(tag not in ("html", "body", "main") and bool(attrs) and marked(attrs))
+        self.marked.append(tag != "article" and self.beside[-1])
         if tag not in VOID:
             path.append(here)
 
@@ -166,6 +168,13 @@ def main_text(html: str | None) -> str:
     limit = min(dense[i] for i in way)
     article = [i for i in way if tag[i] in ("article", "main")]
     chosen = {article[-1] if article else core}
+    if article and tag[article[-1]] == "article":
+        # Further articles of the page (posts, parts) belong to it if they are as dense as the thinnest node on the way and neither they nor what holds them is marked.
+        beside = [False] * n
+        for i in range(body + 1, n):
+            beside[i] = beside[parent[i]] or page.beside[i]
+            if tag[i] == "article" and within[i] and not beside[i] and dense[i] >= limit and prose[i] and chars[i] > 2 * link_chars[i]:
+                chosen.add(i)
     if not article:
         on_way = set(way)
         # Subtrees beside the way belong to the article if they are prose and as dense as the thinnest node on the way.

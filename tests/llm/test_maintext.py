@@ -42,3 +42,13 @@ def test_rows(spark):
     got = sorted(extract(df).collect(), key=str)
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == sorted([(1, "u", WORDS.strip(), len(WORDS.strip()))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=lambda r: f"Row(page_id={r[0]}")
     assert extract(df.limit(0)).count() == 0
+
+
+def test_several_articles_beside_each_other():
+    posts = "".join(f"<article><h2>Part {i}</h2>{f'<p>{WORDS}</p>' * n}</article>" for i, n in enumerate((2, 12, 2)))  # the core is in the second
+    comments = f'<article class="comment"><p>Nice {WORDS}</p></article><div class="comments"><article><p>Nice {WORDS}</p></article></div>'
+    cards = f'<article><a href="x"><p>Teaser {WORDS}</p></a></article>'
+    for html in (page(posts + comments + cards), page(f"<div><div>{posts}</div>{comments}{cards}</div>")):
+        text = main_text(html)
+        assert [f"Part {i}" in text for i in range(3)] == [True] * 3 and text.count("Alpha") == 96
+        assert "Nice" not in text and "Teaser" not in text
