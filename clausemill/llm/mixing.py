@@ -10,6 +10,8 @@ a seeded hash, so reruns agree.
 from __future__ import annotations
 
 import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +21,21 @@ from .common import numbered_rows, spread_rank, stored, table
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-#: Words that the dynamic programme decides over at most.
-CORE = 4096
+#: Words that the dynamic programme decides over at first; and up to how many this is widened where the budget isn't met.
+CORE, WIDEST = 4096, 1 << 22
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, core: int = CORE) -> list[int]:
     """How many documents of each length to take, so that their words sum to the budget or come closest below it.
 
     lengths are distinct and positive. Proportional shares come first, then one
-    more document of each length, longest first, while it fits. Documents of at
-    most `core` words are given back until about `core` words are open, and the
+    more document of each length, longest first, while it fits. Documents are
+    given back, shortest first, until about `core` words are open, and the
     bounded knapsack over all lengths that fit fills these exactly if any
-    subset can.
+    subset can. If none can, the open words are widened fourfold, up to WIDEST
+    or all of the budget. So a budget of at most WIDEST words is met as nearly as
+    any choice of documents can. Above that, the open words are filled as nearly
+    as they can be; what is missing is less than the shortest document not taken.
     """
     total = sum(n * x for n, x in zip(counts, lengths))
     if budget >= total:
@@ -46,25 +51,48 @@ def fit(lengths: list[int], counts: list[int], budget: int, core: int = CORE) ->
                 take[i] += 1
                 left -= lengths[i]
                 grown = True
-    for i in reversed(falling):
-        while left < core // 2 and take[i] and lengths[i] + left <= core:
-            take[i] -= 1
-            left += lengths[i]
-    # Bounded knapsack: bit s of `reach` is set if s words can be had; a count is split into powers of two.
-    reach, steps, full = 1, [], (1 << (left + 1)) - 1
-    for i in falling:
-        spare, part = min(counts[i] - take[i], left // lengths[i]), 1
+    while True:
+        for i in reversed(falling):
+            while left < core // 2 and take[i] and lengths[i] + left <= core:
+                take[i] -= 1
+                left += lengths[i]
+        more, open_ = knapsack([lengths[i] for i in falling], [counts[i] - take[i] for i in falling], left)
+        if not open_ or left == budget or core >= WIDEST:
+            break
+        core = min(core * 4, WIDEST)
+        if core >= budget:  # everything is given back
+            take, left = [0] * len(take), budget
+    for i, n in zip(falling, more):
+        take[i] += n
+    return take
+
+
+def knapsack(lengths: list[int], counts: list[int], left: int) -> tuple[list[int], int]:
+    """How many of each length come closest to `left` words from below, and the words that then stay open.
+
+    Bit s of `reach` is set if s words can be had; a count is split into powers
+    of two. `by` has the step that first had each sum: what it adds to was had before it.
+    """
+    reach, steps, full, by = 1, [], (1 << (left + 1)) - 1, np.full(left + 1, -1, np.int32)
+    for i, length in enumerate(lengths):
+        spare, part = min(counts[i], left // length), 1
         while spare > 0 and not reach >> left & 1:
             n = min(part, spare)
-            steps.append((i, n, reach))
-            reach |= reach << (n * lengths[i]) & full
+            new = reach << (n * length) & full & ~reach
+            if new:
+                low = (new & -new).bit_length() - 1
+                bits = np.frombuffer((new >> low).to_bytes((new.bit_length() - low + 7) // 8, "little"), np.uint8)
+                by[low + np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                reach |= new
+            steps.append((i, n))
             spare, part = spare - n, part * 2
     at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
-    return take
+    take, open_ = [0] * len(lengths), left - at
+    while at:
+        i, n = steps[by[at]]
+        take[i] += n
+        at -= n * lengths[i]
+    return take, open_
 
 
 def source_targets(sized: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:

@@ -53,6 +53,22 @@ def test_fit_reaches_the_budget_or_the_best_below():
         assert sum(k * x for k, x in zip(take, lengths)) == max(r for r in reach if r <= budget)
 
 
+def test_fit_of_long_documents_alone():
+    assert fit([3000, 5000, 7000], [1, 1, 1], 8000) == [1, 1, 0]
+    assert fit([3000, 5000, 7000], [1, 1, 1], 9500) == [1, 1, 0]  # 8000 is the nearest below
+    rng = random.Random(5)
+    for _ in range(20):
+        lengths = rng.sample(range(3000, 20000), rng.randint(2, 6))
+        counts = [rng.randint(1, 3) for _ in lengths]
+        budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        take = fit(lengths, counts, budget)
+        assert all(0 <= k <= n for k, n in zip(take, counts))
+        reach = {0}
+        for x, n in zip(lengths, counts):
+            reach = {r + k * x for r in reach for k in range(n + 1)}
+        assert sum(k * x for k, x in zip(take, lengths)) == max(r for r in reach if r <= budget)
+
+
 def test_targets_sizes_and_limits(spark):
     rows = sample()
     got = mix(documents(spark, rows), ["doc_id"]).collect()
