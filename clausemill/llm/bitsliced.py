@@ -12,6 +12,7 @@ the k-th score are the boundary, and their exact scores decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .blocks import best_of, block_search, usable
 from .common import table
 
 SHIFT, K, EVERY = 3, 5, 50
-#: Quantised components are clipped to this range; scores stay within 64 bits for up to 2^20 of them.
+#: quantise() clips to this range; the search doesn't use it.
 LIMIT = (1 << 21) - 1
 
 
@@ -112,16 +113,40 @@ def quantise(v: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(256.0 * v), -LIMIT - 1, LIMIT).astype(np.int64)
 
 
+def integers(floors: np.ndarray) -> list[list[int]]:
+    return [[int(c) for c in row] for row in floors.tolist()]
+
+
 def search_block(k: int):
     def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
-        x, q = quantise(x), quantise(q)
-        index = BitSlicedIndex(x)
-        for query, weights in zip(query_ids.tolist(), q):
-            rows = index.candidates(weights, k + 1)  # the query itself may be among them
-            rows = rows[ids[rows] != query]
-            scores = x[rows] @ weights
-            best = best_of(ids[rows], scores, k)
-            yield query, ids[rows][best], scores[best]
+        """Rows and queries whose scores surely fit into 62 bits go by the index, all others by Python's integers."""
+        with np.errstate(over="ignore"):  # what isn't finite can't be made an integer: an error below
+            x, q = np.floor(256.0 * x), np.floor(256.0 * q)
+        safe = math.isqrt((1 << 62) // x.shape[1])
+        near, easy = np.abs(x).max(axis=1) <= safe, np.abs(q).max(axis=1) <= safe
+        far, all_ = np.flatnonzero(~near), None
+        far_x = integers(x[far])
+        near_ids, near_x = ids[near], x[near].astype(np.int64)
+        index = BitSlicedIndex(near_x) if len(near_x) else None
+        for query, row, plain in zip(query_ids.tolist(), q, easy):
+            if not plain and all_ is None:
+                all_ = integers(x)
+            found, scores = ids[:0], np.zeros(0, np.int64)
+            if plain and index:
+                weights = row.astype(np.int64)
+                rows = index.candidates(weights, k + 1)  # the query itself may be among them
+                rows = rows[near_ids[rows] != query]
+                scores = near_x[rows] @ weights
+                best = best_of(near_ids[rows], scores, k)
+                found, scores = near_ids[rows][best], scores[best]
+            others, their_ids = (far_x, ids[far]) if plain else (all_, ids)
+            if others:
+                weights = [int(c) for c in row.tolist()]
+                more = [(sum(a * b for a, b in zip(v, weights)), i) for v, i in zip(others, their_ids.tolist()) if i != query]
+                ranked = sorted([*zip(scores.tolist(), found.tolist()), *more], key=lambda r: (-r[0], r[1]))[:k]
+                # A score of more than 64 bits is an error, as it is in SQL.
+                scores, found = np.array([r[0] for r in ranked], np.int64), np.array([r[1] for r in ranked], np.int64)
+            yield query, found, scores
 
     return search
 
@@ -129,7 +154,8 @@ def search_block(k: int):
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products of each query, ties to the smaller id.
 
-    Components are floor(256 * x). Queries are the rows whose id is divisible by
+    Components are floor(256 * x), whatever their size; a score kept that needs
+    more than 64 bits is an error. Queries are the rows whose id is divisible by
     `every`; rows of a null id, null vectors, empty ones and those with null or
     non-finite components take no part. A query meets only vectors of its
     length, and never a row of its own id. Rows that repeat an id count once.

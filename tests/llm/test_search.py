@@ -61,6 +61,20 @@ def test_exact_top_k(spark, monkeypatch, size):
     assert got == expected(rows, 50, 5, False, lambda a, b: int(np.floor(256 * a).astype(int) @ np.floor(256 * b).astype(int)))
 
 
+@pytest.mark.parametrize("size, large", [(1e4, range(0, 120, 3)), (1e6, range(0, 120, 3)), (1e10, [3, 10, 77]), (1e10, [50])])
+def test_large_components_are_not_clipped(spark, size, large):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (size if i in large else 1.0)).astype("float32").tolist()) for i in range(120)]
+    got = sorted(map(tuple, exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == expected(rows, 50, 5, False, lambda a, b: sum(math.floor(256 * float(x)) * math.floor(256 * float(y)) for x, y in zip(a, b)))
+
+
+def test_a_score_of_more_than_64_bits_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="(?i)overflow|too large"):
+        exact_top_k(df).collect()
+
+
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
