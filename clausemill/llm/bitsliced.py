@@ -134,7 +134,8 @@ def search_block(k: int):
             found, scores = ids[:0], np.zeros(0, np.int64)
             if plain and index:
                 weights = row.astype(np.int64)
-                rows = index.candidates(weights, k + 1)  # the query itself may be among them
+                own = int(np.count_nonzero(near_ids == query))  # rows of the query's id may be among the candidates
+                rows = index.candidates(weights, k + own)
                 rows = rows[near_ids[rows] != query]
                 scores = near_x[rows] @ weights
                 best = best_of(near_ids[rows], scores, k)
@@ -158,9 +159,11 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     more than 64 bits is an error. Queries are the rows whose id is divisible by
     `every`; rows of a null id, null vectors, empty ones and those with null or
     non-finite components take no part. A query meets only vectors of its
-    length, and never a row of its own id. Rows that repeat an id count once.
+    length, and never a row of its own id. Rows equal in id and vector count once; differing
+    vectors of an id are candidates, and queries, of their own, and the ranks of a
+    query id are over what all of its vectors found, as in the SQL.
     """
-    rows = usable(vectors, id_col, vector_col, nonzero=False).dropDuplicates(["id"])
+    rows = usable(vectors, id_col, vector_col, nonzero=False).dropDuplicates(["id", "vector"])
     return block_search(rows, every, k, search_block(k), "long")
 
 

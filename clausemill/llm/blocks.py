@@ -44,7 +44,7 @@ def block_search(vectors: DataFrame, every: int, k: int, search: Callable, score
     n_rows = max(1, -(-sum(n for n, _ in sizes.values()) // rows))
     n_queries = max(1, -(-sum(q for _, q in sizes.values()) // queries))
     dim = F.size("vector")
-    deal = F.xxhash64("id")
+    deal = F.xxhash64("id", "vector")  # an id may have many vectors
     base = vectors.select("id", "vector", dim.alias("d"), F.pmod(deal, F.lit(n_rows)).alias("r"), F.pmod(F.shiftright(deal, 20), F.lit(n_queries)).alias("q"))
     left = base.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
     right = base.where(F.col("id") % every == 0).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))

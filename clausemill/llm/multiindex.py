@@ -114,7 +114,8 @@ def search_block(models: dict[int, Codes], k: int):
         for i, query in enumerate(query_ids.tolist()):
             radius = model.radius
             rows = index.within(asked[i : i + 1], radius)
-            while len(rows) <= k and radius < BITS:  # too few: a wider ball
+            own = int(np.count_nonzero(ids == query))
+            while len(rows) < k + own and radius < BITS:  # too few: a wider ball
                 radius = min(BITS, radius + 4)
                 rows = index.within(asked[i : i + 1], radius)
             rows = rows[ids[rows] != query]
@@ -131,10 +132,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Queries are the rows whose id is divisible by `every`. Rows of a null id,
     null, empty and zero vectors and those with null or non-finite components
     take no part. A query meets only vectors of its length and never a row of
-    its own id; it gets k rows, or all there are. Rows that repeat an id count
-    once. Every row is indexed; only the rotation is fitted on a sample.
+    its own id; it gets k rows, or all there are. Rows equal in id and vector
+    count once; differing vectors of an id are candidates, and queries, of their
+    own, and the ranks of a query id are over what all of its vectors found.
+    Every row is indexed; only the rotation is fitted on a sample.
     """
-    rows = usable(vectors, id_col, vector_col, nonzero=True).dropDuplicates(["id"])
+    rows = usable(vectors, id_col, vector_col, nonzero=True).dropDuplicates(["id", "vector"])
     rows = stored(rows, "vectors")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("norm")).collect()  # a row for each vector length
@@ -143,7 +146,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         own = rows.where(F.size("vector") == d)
         if n > SAMPLE:
             whole = 1 << 30
-            own = own.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(whole)) < whole * SAMPLE // n)
+            own = own.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "vector"), F.lit(whole)) < whole * SAMPLE // n)
         sample = sorted((r[0], r[1]) for r in own.select("id", "vector").collect())
         models[d] = learn(np.array([v for _, v in sample], np.float64).reshape(-1, d), float(norm))
     return block_search(rows, every, k, search_block(models, k), "double")

@@ -75,6 +75,29 @@ def test_a_score_of_more_than_64_bits_is_an_error(spark):
         exact_top_k(df).collect()
 
 
+def test_differing_vectors_of_an_id_all_count(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).astype("float32").tolist()) for i in range(1, 150)]
+    rows += [(7, rng.normal(size=6).astype("float32").tolist()) for _ in range(40)] + [(50, rng.normal(size=6).astype("float32").tolist()) for _ in range(30)]
+    df = spark.createDataFrame(rows + rows[-75:], "vec_id long, embedding array<float>")
+
+    def best(q, k, score):
+        found = [(-score(np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)), i) for j, a in rows if j == q for i, b in rows if i != q]
+        return [(i, -s) for s, i in sorted(found)[:k]]
+
+    for deal in (df, df.repartition(5), df.orderBy("embedding")):
+        got = {}
+        for r in sorted(exact_top_k(deal).collect()):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == {q: best(q, 5, lambda a, b: int(np.floor(256 * a).astype(int) @ np.floor(256 * b).astype(int))) for q in (50, 100)}
+    near = nearest(df).where("query_id in (20, 40)").collect()
+    for q in (20, 40):
+        own = sorted((r.rank, r.vec_id, r.score) for r in near if r.query_id == q)
+        want = best(q, 20, lambda a, b: float(a @ b))
+        assert len(own) == 20 and sum(i == 7 for _, i, _ in own) >= 2
+        assert len({(i, round(s, 9)) for _, i, s in own} & {(i, round(s, 9)) for i, s in want}) >= 17
+
+
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
