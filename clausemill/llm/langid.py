@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import fold, table, whole_rows
 
 BUCKET_BITS, DIM, CHUNK = 14, 16, 1 << 18
-#: Labelled rows that the model is fitted on at most, in expectation, shared evenly by the languages; and passes over them.
+#: Labelled rows that the model is fitted on at most, in expectation, shared evenly by the languages, and passes over them; but EACH rows of a language at least are asked for.
 SAMPLE, EPOCHS, RATE, SEED = 2000, 12, 0.5, 5
+EACH = 100
 #: One in ASIDE of the sample calibrates; REJECTED of these may be below the limit before it is moved towards chance, to LENIENT of the way.
 ASIDE, REJECTED, LENIENT = 5, 0.0005, 0.05
 #: Texts that a bucket must occur in to be known.
@@ -101,19 +102,11 @@ def least_known(own: float, random: float) -> float:
     return float(for_unknown / (for_known + for_unknown))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
-    """rows: (buckets, counts, language) of each sampled text, in a fixed order."""
-    langs = sorted({r[2] for r in rows})
+def fitted(data: list[tuple[np.ndarray, np.ndarray, int]], fit: np.ndarray, n_langs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, bias and known buckets from the rows `fit`."""
     size = 1 << BUCKET_BITS
-    if not langs:
-        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(size, bool), 0.0)
-    rng = np.random.default_rng(SEED)
-    order = rng.permutation(len(rows))
-    aside = order[: len(rows) // ASIDE] if len(rows) >= 20 * len(langs) else order[:0]
-    fit = order[len(aside) :]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM))
-    weight, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    data = [(i, c / c.sum(), langs.index(lang)) for i, c, lang in rows]
+    weight, bias = np.zeros((DIM, n_langs)), np.zeros(n_langs)
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(fit):
@@ -127,13 +120,52 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
             weight -= rate * 8 * np.outer(v, g)
             bias -= rate * 0.1 * g
             emb[idx] -= rate * 8 * np.outer(w, back)
-    scores = (emb @ weight).astype(np.float32)
     known = sum((np.bincount(data[k][0], minlength=size) for k in fit), np.zeros(size, np.int64)) >= KNOWN_IN
+    return (emb @ weight).astype(np.float32), bias, known
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
+    """rows: (buckets, counts, language) of each sampled text, in a fixed order.
+
+    With 20 rows a language or more, one in ASIDE is kept aside and calibrates.
+    With fewer, every row of a language that has two is kept aside once: the
+    rows are dealt into ASIDE parts, language by language, a model without each
+    part meets it, and the model returned is fitted on all rows. Only if no
+    language has two rows is there nothing to calibrate by, and nothing but
+    letterless text is rejected.
+    """
+    langs = sorted({r[2] for r in rows})
+    size = 1 << BUCKET_BITS
+    if not langs:
+        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(size, bool), 0.0)
+    rng = np.random.default_rng(SEED)
+    order = rng.permutation(len(rows))
+    data = [(i, c / c.sum(), langs.index(lang)) for i, c, lang in rows]
+    if len(rows) >= 20 * len(langs):
+        parts, whole = [order[: len(rows) // ASIDE]], order[len(rows) // ASIDE :]
+    else:
+        whole, nth = order, {}
+        dealt: list[list[int]] = [[] for _ in range(ASIDE)]
+        of = np.bincount([y for *_, y in data], minlength=len(langs))
+        for k in order.tolist():
+            y = data[k][2]
+            if of[y] > 1:
+                dealt[(y + nth.setdefault(y, 0)) % ASIDE].append(k)
+                nth[y] += 1
+        parts = [np.array(p) for p in dealt if p]
+    scores, bias, known = fitted(data, whole, len(langs), rng)
     model = Model(langs, scores, bias, 1.0, 0.0, known, 0.0)
-    if len(aside):
-        model.least_known = least_known(float(np.mean([data[k][1] @ known[data[k][0]] for k in aside])), float(known.mean()))
-        z = np.stack([data[k][1] @ scores[data[k][0]] + bias for k in aside])
-        y = np.array([data[k][2] for k in aside])
+    z, y, shares, random = [], [], [], []
+    for aside in parts:
+        rest = order[~np.isin(order, aside)]
+        own = (scores, bias, known) if len(rest) == len(whole) else fitted(data, rest, len(langs), rng)
+        z += [data[k][1] @ own[0][data[k][0]] + own[1] for k in aside]
+        y += [data[k][2] for k in aside]
+        shares += [data[k][1] @ own[2][data[k][0]] for k in aside]
+        random += [own[2].mean()] * len(aside)
+    if z:
+        model.least_known = least_known(float(np.mean(shares)), float(np.mean(random)))
+        z, y = np.stack(z), np.array(y)
         grid = [0.5 * 1.25**i for i in range(16)]
         loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = grid[int(np.argmin(loss))]
@@ -149,7 +181,7 @@ def fit_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds:
     tally = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not tally:
         return train([])
-    each, whole = SAMPLE / len(tally), 1 << 24
+    each, whole = max(SAMPLE / len(tally), EACH), 1 << 24
     share = F.create_map(*[F.lit(x) for lang, n in sorted(tally.items()) for x in (lang, min(whole, round(whole * each / n)))])
     some = usable.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(whole)) < share[F.col("lang")])
 

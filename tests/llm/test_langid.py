@@ -59,6 +59,18 @@ def test_texts_in_no_learned_language_are_rejected(spark):
     assert least_known(0.98, 0.3) > 0.5 and least_known(0.2, 0.3) == 0.0 and least_known(1.0, 0.0) == 0.0
 
 
+def test_limits_are_calibrated_on_few_rows_and_many_languages(spark, monkeypatch):
+    stranger = (2000, "Съешь же ещё этих мягких булок", None, "s")
+    rows = documents(60, seed=3)
+    assert sum(1 for i, _, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1) < 20 * 3
+    got = detect(frame(spark, [*rows, stranger])).where("rejected").collect()
+    assert [r.doc_id for r in got] == [2000]
+    monkeypatch.setattr(langid, "SAMPLE", 30)  # as if of 2000 rows few were left to a language
+    assert {r.doc_id for r in detect(frame(spark, [*documents(600), stranger])).where("rejected").collect()} == {2000}
+    one = [(np.array([k]), np.ones(1), str(k)) for k in range(3)]
+    assert train(one).least_known == 0.0 and train(one + one).least_known >= 0.0
+
+
 def test_a_hot_id_does_not_swell_the_sample(spark):
     hot = next(i for i in range(400, 500) if zlib.crc32(str(i).encode()) % 3 != 1)
     rows = documents(300) + [(hot, "ba be bi bo", "xx", "s")] * 300
