@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
+#: Where the tables are that stored() has made, by the identity of the DataFrame.
+_PATHS: dict[int, str] = {}
 
 #: Bytes: A-Z to lower case, everything else as it is.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -22,12 +25,15 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is spark.checkpoint.dir of the session. Where that is unset, as in local
-    tests, one temporary folder per application is made and removed at exit.
+    It is spark.checkpoint.dir of the session. Where that is unset and driver
+    and executors are one process, as in tests, one temporary folder per
+    application is made and removed at exit; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         folder = tempfile.mkdtemp(prefix="clausemill-")
@@ -36,6 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table, below a folder of the application."""
+    return f"{shared_dir(spark)}/clausemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a table of its own in the shared folder and reads it again.
 
@@ -43,9 +54,29 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     df once only, and gives the planner the true size of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clausemill/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by stored() that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(id(df), None):
+            remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has stored, once the results that were made from them are written."""
+    remove(spark, f"{shared_dir(spark)}/clausemill/{spark.sparkContext.applicationId}")
 
 
 def whole_rows(df: DataFrame) -> Column:

@@ -29,6 +29,8 @@ BUCKET_BITS, DIM, CHUNK = 14, 16, 1 << 18
 #: Labelled rows that the model is fitted on at most, in expectation, shared evenly by the languages, and passes over them; but EACH rows of a language at least are asked for.
 SAMPLE, EPOCHS, RATE, SEED = 2000, 12, 0.5, 5
 EACH = 100
+#: Values that a sampling hash is brought to.
+WHOLE = 1 << 62
 #: One in ASIDE of the sample calibrates; REJECTED of these may be below the limit before it is moved towards chance, to LENIENT of the way.
 ASIDE, REJECTED, LENIENT = 5, 0.0005, 0.05
 #: Texts that a bucket must occur in to be known.
@@ -175,15 +177,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     return model
 
 
+def share_of(n: int, n_langs: int) -> int:
+    """How many of WHOLE hash values put a row of a language of n rows into the sample; never none, however large n is."""
+    each = max(-(-SAMPLE // n_langs), EACH)
+    return min(WHOLE, -(-WHOLE * each // n))
+
+
 def fit_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int = 3, held_out: int = 1) -> Model:
     """Fits on labelled rows outside the held-out fold. The rows come by a hash of id and text, repeated rows once, so no id or copy swells the sample; their n-gram counts, not their texts, reach the driver."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where((fold(id_col, folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     tally = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each language
     if not tally:
         return train([])
-    each, whole = max(SAMPLE / len(tally), EACH), 1 << 24
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(tally.items()) for x in (lang, min(whole, round(whole * each / n)))])
-    some = usable.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(whole)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(tally.items()) for x in (lang, share_of(n, len(tally)))])
+    some = usable.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(WHOLE)) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

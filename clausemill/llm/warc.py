@@ -15,7 +15,9 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import count
 from pathlib import Path
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ from .common import stored, table
 
 #: Payload bytes in a chunk; payloads shorter than LEAST are never revisits; bytes of the batches that a task yields.
 CHUNK, LEAST, BATCH = 64 << 10, 1000, 8 << 20
+#: Bytes that the head of a record in a file may have.
+HEAD = 16 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE = "record long, chunk int, data binary, payload_so_far long, sha1_so_far string, last boolean"
@@ -61,8 +65,9 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int]:
     for prefix, part in (("", data[:end]), ("http:", data[end:stop])):
         for line in part.decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
-            if colon:
-                fields[prefix + name.lower()] = value.strip()
+            if colon:  # white space around a value isn't part of it, but a url is given back as it was
+                name = name.lower()
+                fields[prefix + name] = value.removeprefix(" ") if name == "warc-target-uri" else value.strip()
     return fields, stop
 
 
@@ -96,7 +101,8 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def to_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK, least: int = LEAST) -> DataFrame:
     """The archive (a lazy chunk table) of all rows of pages.
 
-    Null payloads are empty, null urls have no target line, null ids no id line.
+    Null payloads are empty, null urls have no target line, null ids no id line;
+    line breaks in a url are percent-encoded.
     Of records with equal payloads of at least `least` bytes that with the
     largest id is the response; rows that repeat its id and payload are
     responses too, all others are revisits of it. Null ids are smallest.
@@ -138,20 +144,22 @@ def _check(fields: dict[str, str], n: int, sha1: str) -> tuple:
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests chunk after chunk. A record's chunks come one after the other, in order."""
     fields: dict[str, str] = {}
-    digest, n, expected = hashlib.sha1(), 0, (None, 0)
+    digest, n, expected, whole = hashlib.sha1(), 0, (None, 0), True
     for b in batches:
         out = []
         datas = b.column("data")
         for i, (record, k, so_far, last) in enumerate(zip(*(b.column(c).to_pylist() for c in ("record", "chunk", "sha1_so_far", "last")))):
             data = memoryview(datas[i].as_buffer())
             if k == 0:
+                if not whole:
+                    raise ValueError(f"record {expected[0]}: chunk {expected[1]} and what follows are missing")
                 fields, at = parse_head(bytes(data))  # the head and a chunk at most
                 digest, n = hashlib.sha1(), 0
             else:
                 at = 0
                 if expected != (record, k):
                     raise ValueError(f"record {record}: chunk {k} doesn't follow")
-            expected = (record, k + 1)
+            expected, whole = (record, k + 1), last
             if last and bytes(data[-4:]) != b"\r\n\r\n":
                 raise ValueError(f"record {record}: no end mark")
             part = data[at : len(data) - 4 * last]
@@ -164,14 +172,21 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         columns = list(zip(*out)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in RECORDS.split(", ")])
+    if not whole:
+        raise ValueError(f"record {expected[0]}: chunk {expected[1]} and what follows are missing")
 
 
-def read_archive(archive: DataFrame) -> DataFrame:
+def read_archive(archive: DataFrame, records: int | None = None) -> DataFrame:
     """Every record of an archive, verified: all chunks there, in order, digests as stated.
 
-    A record of one chunk is read where it lies; only chunks of longer ones are
-    brought together.
+    A record that lacks a chunk, its last ones included, is an error when the
+    result is read. A record that is missing as a whole leaves no trace in the
+    archive: who knows how many were written gives `records`, and another
+    number of record ends is an error at once. A record of one chunk is read
+    where it lies; only chunks of longer ones are brought together.
     """
+    if records is not None and (found := archive.where("last").count()) != records:
+        raise ValueError(f"{found} records in the archive, {records} were written")
     single = (F.col("chunk") == 0) & F.col("last")
     long = archive.where(~single).repartition("record").sortWithinPartitions("record", "chunk")
     return archive.where(single).mapInArrow(_records, RECORDS).union(long.mapInArrow(_records, RECORDS))
@@ -201,39 +216,59 @@ def write_files(archive: DataFrame, folder: str, files: int = 4) -> None:
     archive.repartition(files, "record").sortWithinPartitions("record", "chunk").mapInArrow(run, "path string").count()
 
 
+def _line(f: BinaryIO, path: str, most: int = HEAD) -> bytes:
+    """A line of a head with its end; an error where the file or `most` bytes end before it does."""
+    line = f.readline(most)
+    if not line.endswith(b"\n") and len(line) < most:
+        raise EOFError(f"{path} ends within the head of a record")
+    return line
+
+
+def _record_head(f: BinaryIO, path: str) -> tuple[bytes, int]:
+    """The next record's head with its empty line, and the length of what follows; nothing at the end of the file."""
+    head = f.readline(HEAD)
+    if not head:
+        return b"", 0
+    while not head.endswith(b"\r\n\r\n"):
+        if len(head) > HEAD:
+            raise ValueError(f"{path}: the head of a record is longer than {HEAD} bytes")
+        head += _line(f, path)
+    stated = [x.split(b":", 1)[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if not stated:
+        raise ValueError(f"{path}: a record states no length")
+    return head, int(stated[0])
+
+
 def read_files(spark: SparkSession, paths: list[str], size: int = CHUNK) -> DataFrame:
-    """The chunk table of archives in files (.warc or .warc.gz) that all executors reach; each is streamed."""
+    """The chunk table of archives in files (.warc or .warc.gz) that all executors reach; each is streamed. A file that is cut short is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for b in batches:
                 for path, first in zip(*(c.to_pylist() for c in b.columns)):
                     with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
-                        record = first
-                        while line := f.readline():
-                            lines = [line]
-                            while (line := f.readline()).strip():
-                                lines.append(line)
-                            start = b"".join(lines) + b"\r\n"
-                            left = int(next(x for x in lines if x.lower().startswith(b"content-length:")).split(b":")[1])
+                        for record in count(first):
+                            start, left = _record_head(f, path)
+                            if not start:
+                                break
                             http = b""
                             while left and not http.endswith(b"\r\n\r\n"):
-                                got = f.readline()
+                                got = _line(f, path, left)
                                 http += got
                                 left -= len(got)
-                            digest, seen, k = hashlib.sha1(), 0, 0
-                            while True:
+                            digest, seen = hashlib.sha1(), 0
+                            for k in count():
                                 part = f.read(min(size, left))
+                                if left and not part:
+                                    raise EOFError(f"{path} ends within a record")
                                 left -= len(part)
                                 seen += len(part)
                                 digest.update(part)
-                                if not left:
-                                    f.read(4)
+                                if not left and f.read(4) != b"\r\n\r\n":
+                                    raise EOFError(f"{path}: no end mark after a record")
                                 yield record, k, (start + http if not k else b"") + part + (b"" if left else b"\r\n\r\n"), seen, digest.hexdigest(), not left
-                                k += 1
                                 if not left:
                                     break
-                            record += 1
 
         yield from _batches(each())
 
@@ -242,5 +277,6 @@ def read_files(spark: SparkSession, paths: list[str], size: int = CHUNK) -> Data
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    archive = stored(to_archive(table(spark, sf_dir, "pages")), "warc", compression="zstd")
-    return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
+    pages = table(spark, sf_dir, "pages")
+    archive = stored(to_archive(pages), "warc", compression="zstd")
+    return read_archive(archive, pages.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")

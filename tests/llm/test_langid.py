@@ -95,3 +95,10 @@ def test_long_texts_are_read_whole():
     whole = counts(text + "the end")
     assert (counts(text) <= whole).all() and whole.sum() > counts(text).sum()
     assert train([]).predict("abc") == ("und", 0.0, True)
+
+
+def test_no_language_is_too_large_for_the_sample():
+    for n_langs in (1, 4, 100, 1000):
+        for n in (1, 50, 10**7, 10**9, 10**12, 10**15):
+            share, each = langid.share_of(n, n_langs), max(langid.SAMPLE / n_langs, langid.EACH)
+            assert 1 <= share <= langid.WHOLE and share / langid.WHOLE * n >= min(n, each) * 0.999

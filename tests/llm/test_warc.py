@@ -44,6 +44,37 @@ def test_round_trip(spark, size):
             read_archive(archive.where("chunk <> 3")).count()
 
 
+def test_lost_chunks_and_records_are_errors(spark):
+    df = spark.createDataFrame([(1, "u", "a" * 350), (2, "v", "b" * 350), (3, "w", "c")], "page_id long, url string, html string")
+    archive = stored(to_archive(df, size=100), "t")
+    assert read_archive(archive, 3).count() == 3
+    for lost in ("chunk < 3 OR record <> (SELECT min(record) FROM lost_of)", "chunk < 3", "chunk = 0"):
+        archive.createOrReplaceTempView("lost_of")
+        with pytest.raises(Exception, match="missing"):
+            read_archive(archive.where(lost).coalesce(1)).count()
+    with pytest.raises(ValueError, match="2 records"):
+        read_archive(archive.where("NOT (last AND chunk = 0)"), 3)
+
+
+@pytest.mark.parametrize("pack", [False, True])
+def test_cut_files_are_errors_and_end(spark, tmp_path, pack):
+    df = spark.createDataFrame([(1, "u", "a" * 5000)], "page_id long, url string, html string")
+    data = b"".join(bytes(r.data) for r in to_archive(df, size=1000).orderBy("chunk").collect())
+    path = tmp_path / ("x.warc.gz" if pack else "x.warc")
+    for end in (5, 100, 350, 480, 3000, len(data) - 4, len(data) - 1):
+        path.write_bytes(gzip.compress(data[:end]) if pack else data[:end])
+        with pytest.raises(Exception, match="ends within|no end mark|no length"):
+            read_files(spark, [str(path)]).limit(100).count()
+    path.write_bytes(data + data)
+    if not pack:
+        assert read_archive(read_files(spark, [str(path)])).count() == 2
+
+
+def test_urls_come_back_as_they_were(spark):
+    df = spark.createDataFrame([(1, "  http://x/ ", "a"), (2, "", "b"), (3, " ", "c")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.url) for r in read_archive(to_archive(df)).collect()) == [(1, "  http://x/ "), (2, ""), (3, " ")]
+
+
 def test_archive_is_a_valid_file(spark, tmp_path):
     rows, df = pages(spark)
     archive = stored(to_archive(df, size=500), "t")
