@@ -13,17 +13,17 @@ the k-th score are the boundary, and their exact scores decide.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import best_of, block_search, usable
-from .common import table
+from .blocks import best_of, block_search, matrix, usable
+from .common import stored, table
 
 SHIFT, K, EVERY = 3, 5, 50
-#: quantise() clips to this range; the search doesn't use it.
-LIMIT = (1 << 21) - 1
 
 
 def signed_digits(x: int) -> list[tuple[int, int]]:
@@ -109,47 +109,53 @@ class BitSlicedIndex:
         return self.rows(above | equal)
 
 
-def quantise(v: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(256.0 * v), -LIMIT - 1, LIMIT).astype(np.int64)
-
-
 def integers(floors: np.ndarray) -> list[list[int]]:
     return [[int(c) for c in row] for row in floors.tolist()]
 
 
-def search_block(k: int):
-    def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
-        """Rows and queries whose scores surely fit into 62 bits go by the index, all others by Python's integers."""
-        with np.errstate(over="ignore"):  # what isn't finite can't be made an integer: an error below
-            x, q = np.floor(256.0 * x), np.floor(256.0 * q)
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as whole doubles; what isn't finite can't be made an integer and is an error later."""
+    with np.errstate(over="ignore"):
+        return np.floor(256.0 * x)
+
+
+def search_block(k: int) -> Callable:
+    def prepare(ids: np.ndarray, x: np.ndarray) -> Callable:
+        """The index of one block. Rows and queries whose scores surely fit into 62 bits go by it, all others by Python's integers."""
+        x = quantised(x)
         safe = math.isqrt((1 << 62) // x.shape[1])
-        near, easy = np.abs(x).max(axis=1) <= safe, np.abs(q).max(axis=1) <= safe
-        far, all_ = np.flatnonzero(~near), None
-        far_x = integers(x[far])
+        near = np.abs(x).max(axis=1) <= safe
+        far_ids, far_x = ids[~near], integers(x[~near])
         near_ids, near_x = ids[near], x[near].astype(np.int64)
         index = BitSlicedIndex(near_x) if len(near_x) else None
-        for query, row, plain in zip(query_ids.tolist(), q, easy):
-            if not plain and all_ is None:
-                all_ = integers(x)
-            found, scores = ids[:0], np.zeros(0, np.int64)
-            if plain and index:
-                weights = row.astype(np.int64)
-                own = int(np.count_nonzero(near_ids == query))  # rows of the query's id may be among the candidates
-                rows = index.candidates(weights, k + own)
-                rows = rows[near_ids[rows] != query]
-                scores = near_x[rows] @ weights
-                best = best_of(near_ids[rows], scores, k)
-                found, scores = near_ids[rows][best], scores[best]
-            others, their_ids = (far_x, ids[far]) if plain else (all_, ids)
-            if others:
-                weights = [int(c) for c in row.tolist()]
-                more = [(sum(a * b for a, b in zip(v, weights)), i) for v, i in zip(others, their_ids.tolist()) if i != query]
-                ranked = sorted([*zip(scores.tolist(), found.tolist()), *more], key=lambda r: (-r[0], r[1]))[:k]
-                # A score of more than 64 bits is an error, as it is in SQL.
-                scores, found = np.array([r[0] for r in ranked], np.int64), np.array([r[1] for r in ranked], np.int64)
-            yield query, found, scores
-
-    return search
+        all_: list[list[int]] = []
+
+        def search(queries: pa.Table) -> Iterator[tuple]:
+            q = quantised(matrix(queries["vector"]))
+            for query, row, plain in zip(queries["id"].to_pylist(), q, np.abs(q).max(axis=1) <= safe):
+                if not plain and not all_:
+                    all_.extend(integers(x))
+                found, scores = ids[:0], np.zeros(0, np.int64)
+                if plain and index:
+                    weights = row.astype(np.int64)
+                    own = int(np.count_nonzero(near_ids == query))  # rows of the query's id may be among the candidates
+                    rows = index.candidates(weights, k + own)
+                    rows = rows[near_ids[rows] != query]
+                    scores = near_x[rows] @ weights
+                    best = best_of(near_ids[rows], scores, k)
+                    found, scores = near_ids[rows][best], scores[best]
+                others, their_ids = (far_x, far_ids) if plain else (all_, ids)
+                if others:
+                    weights = [int(c) for c in row.tolist()]
+                    more = [(sum(a * b for a, b in zip(v, weights)), i) for v, i in zip(others, their_ids.tolist()) if i != query]
+                    ranked = sorted([*zip(scores.tolist(), found.tolist()), *more], key=lambda r: (-r[0], r[1]))[:k]
+                    # A score of more than 64 bits is an error, as it is in SQL.
+                    scores, found = np.array([r[0] for r in ranked], np.int64), np.array([r[1] for r in ranked], np.int64)
+                yield query, found, scores
+
+        return search
+
+    return prepare
 
 
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
@@ -163,8 +169,8 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     vectors of an id are candidates, and queries, of their own, and the ranks of a
     query id are over what all of its vectors found, as in the SQL.
     """
-    rows = usable(vectors, id_col, vector_col, nonzero=False).dropDuplicates(["id", "vector"])
-    return block_search(rows, every, k, search_block(k), "long")
+    rows = stored(usable(vectors, id_col, vector_col, nonzero=False).dropDuplicates(["id", "vector"]), "vectors")
+    return block_search(rows, rows.where(F.col("id") % every == 0), k, search_block(k), "long")
 
 
 def op5_bit_sliced_topk(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,15 @@
-"""A query set against all vectors, in blocks of bounded size."""
+"""A query set against all vectors, in blocks of bounded size.
+
+The vectors are written once and never shuffled again. Queries come in blocks
+of bounded size, each sent to all executors; a task reads its share of the
+vectors in blocks, prepares each block once for all queries of the block of
+queries, and keeps the k best of every query, so a block of queries shuffles no
+more than k rows a query and task.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors and queries that meet in one task.
-ROWS, QUERIES = 16384, 4096
+from .common import new_path
+
+#: Vectors and queries that meet at once at most, and the bytes that either may take.
+ROWS, QUERIES, BYTES = 65536, 65536, 32 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
@@ -29,39 +38,92 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def block_search(vectors: DataFrame, every: int, k: int, search: Callable, score_type: str, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by `every` its k best other rows.
+def by_length(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, pa.Table | pa.RecordBatch]]:
+    """The rows of each length of vector."""
+    sizes = np.diff(np.asarray(rows["vector"].combine_chunks().offsets if isinstance(rows["vector"], pa.ChunkedArray) else rows["vector"].offsets))
+    for d in np.unique(sizes).tolist():
+        yield d, rows if (sizes == d).all() else rows.filter(pa.array(sizes == d))
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most `most` rows, or BYTES, of one length."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for d, part in by_length(b):
+            room = max(1, min(most, BYTES // (8 * d)))
+            for at in range(0, part.num_rows, room):
+                cut = part.slice(at, room)
+                own = held.setdefault(d, [])
+                if sum(len(i) for i, _ in own) + cut.num_rows > room:
+                    yield tuple(map(np.concatenate, zip(*own)))
+                    own.clear()
+                own.append((cut["id"].to_numpy(), matrix(cut["vector"])))
+    for own in held.values():
+        if own:
+            yield tuple(map(np.concatenate, zip(*own)))
+
+
+def merged(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query id, id, score) rows the k best of each query id, ties by smaller id; equal rows stay."""
+    query, ids, scores = map(np.concatenate, zip(*parts))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate((first, [len(query)]))))
+    return query[place < k], ids[place < k], scores[place < k]
 
-    search(ids, X, query_ids, Q) yields (query_id, ids, scores) with the best k
-    of one block of vectors, exact ties by smaller id. Only vectors of one
-    length meet. Rows and queries are dealt into blocks by a hash, whose numbers
-    follow the table's size; a block of rows meets every block of queries in a
-    task of its own, and the blocks' best are ranked again.
+
+def block_search(vectors: DataFrame, asked: DataFrame, k: int, prepare: Callable, score_type: str, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of asked its k best rows of vectors but those of its own id.
+
+    vectors (id, vector) is a stored table. asked (id, vector and what else the
+    search needs) is written in blocks of at most about `queries` rows or BYTES.
+    prepare(ids, X) makes of a block of vectors a search(queries), which yields
+    (query_id, ids, scores) with the best k of the block for each of a table of
+    queries whose vectors have the same length, exact ties by smaller id. The
+    driver holds one block of queries at a time, and so does a task beside one
+    block of vectors and k rows for each query.
     """
-    sizes = {r[0]: (r[1], r[2]) for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).collect()}  # a row for each vector length
-    if not sizes:
-        sizes = {0: (0, 0)}
-    n_rows = max(1, -(-sum(n for n, _ in sizes.values()) // rows))
-    n_queries = max(1, -(-sum(q for _, q in sizes.values()) // queries))
-    dim = F.size("vector")
-    deal = F.xxhash64("id", "vector")  # an id may have many vectors
-    base = vectors.select("id", "vector", dim.alias("d"), F.pmod(deal, F.lit(n_rows)).alias("r"), F.pmod(F.shiftright(deal, 20), F.lit(n_queries)).alias("q"))
-    left = base.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    right = base.where(F.col("id") % every == 0).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
-
-    def meet(key, xs: pa.Table, qs: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
-        if len(xs) and len(qs):
-            for query, ids, scores in search(xs["id"].to_numpy(), matrix(xs["vector"]), qs["id"].to_numpy(), matrix(qs["vector"])):
-                out_q.append(np.full(len(ids), query))
-                out_v.append(ids)
-                out_s.append(scores)
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"query_id": np.concatenate(out_q or empty), "vec_id": np.concatenate(out_v or empty), "score": pa.array(np.concatenate(out_s or empty)).cast(pa.int64() if score_type == "long" else pa.float64())})
-
-    keys = ["d", "r", "q"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
+    spark = vectors.sparkSession
+    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    each = max(1, min(queries, BYTES // (8 * (longest or 1))))
+    n_blocks = -(-n // each)
+    out = new_path(spark, "nearest")
+    kind = pa.int64() if score_type == "long" else pa.float64()
+    schema = f"query_id long, vec_id long, score {score_type}"
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, n_blocks))).cast("int"))
+    path = new_path(spark, "queries")
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+
+    def job(block: pa.Table) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)  # `each` queries, or BYTES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_by_length = dict(by_length(sent.value))
+            best: list = []
+            held = 0
+            for ids, x in row_blocks(batches, rows):
+                if x.shape[1] not in asked_by_length:
+                    continue
+                for query, found, scores in prepare(ids, x)(asked_by_length[x.shape[1]]):
+                    best.append((np.full(len(found), query), found, scores))
+                    held += len(found)
+                if held > 2 * k * sent.value.num_rows + 1024:
+                    best = [merged(k, best)]
+                    held = len(best[0][0])
+            if best:
+                query, found, scores = merged(k, best)
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(scores).cast(kind)], names=["query_id", "vec_id", "score"])
+
+        return vectors.select("id", "vector").mapInArrow(run, schema)
+
+    spark.createDataFrame([], schema).write.parquet(out)
+    for block in range(n_blocks):
+        own = spark.read.schema(dealt.schema).parquet(path).where(F.col("block") == block).drop("block").toArrow()
+        if own.num_rows:
+            job(own).write.mode("append").parquet(out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = spark.read.schema(schema).parquet(out)
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -8,47 +8,60 @@ a code within the radius is within a substring's share of the radius in at least
 one substring, so probing all values that near in every index retrieves every
 code within the radius. Those are ranked again by the exact inner product.
 
-The radius holds RECALL of the true neighbours within the sample. The sample is
-sparser than the table, so true neighbours in the table are nearer.
+Every query has a radius of its own: the one within which lie so many codes of
+the sample that RECALL of the true neighbours within the sample are among them.
+The sample is sparser than the table, so true neighbours in the table are
+nearer, and the same radius holds more of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best_of, block_search, usable
+from .blocks import best_of, block_search, by_length, matrix, usable
 from .common import stored, table
 
-BITS, SUBSTRING = 64, 8
+BITS, SUBSTRING = 256, 16
 K, EVERY = 20, 20
-#: Vectors that the rotation is fitted on at most (in expectation) of each length, and queries among them that set the radius.
+#: Vectors that the rotation is fitted on at most (in expectation) of each length, and queries among them that set how many codes of the sample a radius holds.
 SAMPLE, TRIALS, ROUNDS, RECALL, SEED = 8192, 256, 20, 0.95, 3
+#: Values that a sampling hash is brought to.
+WHOLE = 1 << 62
+
+
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of codes (n, BITS / 64 unsigned 64-bit words) and one code."""
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
 @dataclass
 class Codes:
     projection: np.ndarray  # (components + 1) x BITS
     norm: float
-    radius: int
+    sample: np.ndarray  # codes
+    held: int  # codes of the sample that a radius holds
 
     def of(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """(n, BITS / 8) bytes. Queries have no length to make up for; theirs doesn't matter."""
+        """(n, BITS / 64) words. Queries have no length to make up for; theirs doesn't matter."""
         squares = np.einsum("ij,ij->i", x, x)
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.norm**2 - squares))
-        return np.packbits(np.column_stack((x, rest)) @ self.projection > 0, axis=1)
-
+        return np.packbits(np.column_stack((x, rest)) @ self.projection > 0, axis=1).view(np.uint64)
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64)[:, 0] ^ b.view(np.uint64)[0])
+    def radius(self, code: np.ndarray) -> int:
+        """The smallest radius around a query's code that holds enough of the sample; BITS if that is the whole sample."""
+        if self.held >= len(self.sample):
+            return BITS
+        return int(np.partition(distances(self.sample, code), self.held - 1)[self.held - 1])
 
 
-def learn(x: np.ndarray, norm: float) -> Codes:
+def learn(x: np.ndarray, norm: float, k: int = K) -> Codes:
     """x: a sample of vectors, none longer than norm."""
     rng = np.random.default_rng(SEED)
     x = x / (norm or 1.0)
@@ -62,23 +75,26 @@ def learn(x: np.ndarray, norm: float) -> Codes:
     for _ in range(ROUNDS):
         u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
         turn = w.T @ u.T
-    projection = axes @ turn
-    codes = Codes(projection / (norm or 1.0), norm, BITS)
-    own, asked = codes.of(x * norm, False), codes.of(x * norm, True)
-    far = []
-    for i in range(min(TRIALS, len(x))):
+    codes = Codes(axes @ turn / (norm or 1.0), norm, np.empty((0, BITS // 64), np.uint64), 0)
+    codes.sample = codes.of(x * norm, False)
+    asked = codes.of(x[:TRIALS] * norm, True)
+    # By query: how many of the sample's codes are as near as each of its true neighbours.
+    places = []
+    for i in range(len(asked)):
         scores = x @ x[i]
         scores[i] = -np.inf
-        near = np.argsort(-scores)[: min(K, len(x) - 1)]
-        far.append(_distance(own[near], asked[i : i + 1]))
-    if far and len(far[0]):
-        codes.radius = int(np.quantile(np.concatenate(far), RECALL, method="higher"))
+        near = np.argsort(-scores)[: min(k, len(x) - 1)]
+        far = distances(codes.sample, asked[i])
+        places.append(np.searchsorted(np.sort(far), far[near], side="right"))
+    if places and len(places[0]):
+        codes.held = int(np.quantile(np.concatenate(places), RECALL, method="higher"))
+    codes.held = max(codes.held, min(len(x), 2 * k))
     return codes
 
 
 @lru_cache(32)
 def _masks(errors: int) -> np.ndarray:
-    values = np.arange(1 << SUBSTRING, dtype=np.uint8)
+    values = np.arange(1 << SUBSTRING, dtype=np.uint16)
     return values[np.bitwise_count(values) <= errors] if errors >= 0 else values[:0]
 
 
@@ -87,43 +103,61 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[o], np.arange((1 << SUBSTRING) + 1)) for c, o in zip(codes.T, self.order)]
+        self.parts = codes.view(np.uint16)
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in self.parts.T]
+        self.starts = [np.searchsorted(c[o], np.arange((1 << SUBSTRING) + 1)).astype(np.int32) for c, o in zip(self.parts.T, self.order)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows at most `radius` bits from code (1, BITS / 8)."""
-        parts = self.codes.shape[1]
+        """All rows at most `radius` bits from code (BITS / 64 words)."""
+        parts, values = self.parts.shape[1], code.view(np.uint16)
         seen = np.zeros(len(self.codes), bool)
         for s in range(parts):
             # The shares, each with its zero counted, sum to radius + 1: not every substring can be beyond its own.
-            values = code[0, s] ^ _masks((radius + 1) // parts - 1 + (s < (radius + 1) % parts))
-            at, to = self.starts[s][values], self.starts[s][values.astype(np.int64) + 1]
-            n = to - at
-            if n.sum():
+            masks = _masks(min(SUBSTRING, (radius + 1) // parts - 1 + (s < (radius + 1) % parts)))
+            if len(masks) == 1 << SUBSTRING:
+                seen[:] = True
+                break
+            near = values[s] ^ masks
+            at = self.starts[s][near]
+            n = self.starts[s][near.astype(np.int32) + 1] - at
+            some = np.flatnonzero(n)
+            if len(some):
+                at, n = at[some], n[some]
                 ends = np.cumsum(n)
                 seen[self.order[s][np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]] = True
         rows = np.flatnonzero(seen)
-        return rows[_distance(self.codes[rows], code) <= radius]
+        return rows[distances(self.codes[rows], code) <= radius]
+
+
+def search_block(models: dict[int, Codes], k: int) -> Callable:
+    def prepare(ids: np.ndarray, x: np.ndarray) -> Callable:
+        index = MultiIndex(models[x.shape[1]].of(x, False))
+
+        def search(queries: pa.Table) -> Iterator[tuple]:
+            asked = np.frombuffer(b"".join(queries["code"].to_pylist()), np.uint64).reshape(queries.num_rows, -1)
+            for query, q, code, radius in zip(queries["id"].to_pylist(), matrix(queries["vector"]), asked, queries["radius"].to_pylist()):
+                rows = index.within(code, radius)
+                rows = rows[ids[rows] != query]
+                scores = (x[rows] * q).sum(axis=1)
+                best = best_of(ids[rows], scores, k)
+                yield query, ids[rows][best], scores[best]
+
+        return search
+
+    return prepare
+
 
+def with_codes(queries: DataFrame, models: dict[int, Codes]) -> DataFrame:
+    """id, vector, code and radius of each query."""
+    shared = queries.sparkSession.sparkContext.broadcast(models)
 
-def search_block(models: dict[int, Codes], k: int):
-    def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple]:
-        model = models[x.shape[1]]
-        index = MultiIndex(model.of(x, False))
-        asked = model.of(q, True)
-        for i, query in enumerate(query_ids.tolist()):
-            radius = model.radius
-            rows = index.within(asked[i : i + 1], radius)
-            own = int(np.count_nonzero(ids == query))
-            while len(rows) < k + own and radius < BITS:  # too few: a wider ball
-                radius = min(BITS, radius + 4)
-                rows = index.within(asked[i : i + 1], radius)
-            rows = rows[ids[rows] != query]
-            scores = (x[rows] * q[i]).sum(axis=1)
-            best = best_of(ids[rows], scores, k)
-            yield query, ids[rows][best], scores[best]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, part in by_length(b):
+                codes = shared.value[d].of(matrix(part["vector"]), True)
+                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([shared.value[d].radius(c) for c in codes], pa.int32())], names=["id", "vector", "code", "radius"])
 
-    return search
+    return queries.mapInArrow(run, "id long, vector array<double>, code binary, radius int")
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
@@ -132,24 +166,32 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Queries are the rows whose id is divisible by `every`. Rows of a null id,
     null, empty and zero vectors and those with null or non-finite components
     take no part. A query meets only vectors of its length and never a row of
-    its own id; it gets k rows, or all there are. Rows equal in id and vector
-    count once; differing vectors of an id are candidates, and queries, of their
-    own, and the ranks of a query id are over what all of its vectors found.
-    Every row is indexed; only the rotation is fitted on a sample.
+    its own id; it gets k rows, or all there are: what is within its radius
+    first, and where that is fewer than k, whatever the distance. Rows equal in
+    id and vector count once; differing vectors of an id are candidates, and
+    queries, of their own, and the ranks of a query id are over what all of its
+    vectors found. Every row is indexed; only the rotation is fitted on a
+    sample, whose size for each length of vectors is bounded by SAMPLE.
     """
     rows = usable(vectors, id_col, vector_col, nonzero=True).dropDuplicates(["id", "vector"])
-    rows = stored(rows, "vectors")
+    rows = stored(rows.select("id", "vector", F.size("vector").alias("d")), "vectors")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("norm")).collect()  # a row for each vector length
-    models = {}
-    for d, n, norm in sizes:
-        own = rows.where(F.size("vector") == d)
-        if n > SAMPLE:
-            whole = 1 << 30
-            own = own.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "vector"), F.lit(whole)) < whole * SAMPLE // n)
-        sample = sorted((r[0], r[1]) for r in own.select("id", "vector").collect())
-        models[d] = learn(np.array([v for _, v in sample], np.float64).reshape(-1, d), float(norm))
-    return block_search(rows, every, k, search_block(models, k), "double")
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("d").agg(F.count(F.lit(1)), F.max(length)).collect()}  # a row for each vector length
+    share = F.create_map(*[F.lit(x).cast("long") for d, (n, _) in sorted(sizes.items()) or [(0, (1, 0.0))] for x in (d, min(WHOLE, -(-WHOLE * SAMPLE // n)))])
+    some = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "vector"), F.lit(WHOLE)) < share[F.col("d").cast("long")])
+    sample: dict[int, list] = {}
+    for r in some.collect():  # SAMPLE rows of each length, in expectation
+        sample.setdefault(r.d, []).append((r.id, r.vector))
+    models = {d: learn(np.array([v for _, v in sorted(own)], np.float64).reshape(-1, d), float(sizes[d][1]), k) for d, own in sample.items()}
+    asked = rows.where(F.col("id") % every == 0)
+    found = stored(block_search(rows, with_codes(asked, models), k, search_block(models, k), "double"), "found")
+    # Queries that got less than k, though there may be more: once more, whatever the distance.
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"))
+    short = stored(with_codes(asked, models).join(full, F.col("id") == F.col("_q"), "left_anti").withColumn("radius", F.lit(BITS)), "short")
+    if short.isEmpty():
+        return found
+    again = block_search(rows, short, k, search_block(models, k), "double")
+    return found.join(short.select(F.col("id").alias("_q")).distinct(), F.col("query_id") == F.col("_q"), "left_anti").union(again)
 
 
 def op10_multi_index_ann(spark, sf_dir: str) -> DataFrame:

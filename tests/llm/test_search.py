@@ -3,9 +3,9 @@ import random
 
 import numpy as np
 import pytest
-from clausemill.llm import blocks
-from clausemill.llm.bitsliced import BitSlicedIndex, exact_top_k, quantise, signed_digits
-from clausemill.llm.multiindex import MultiIndex, learn, nearest
+from clausemill.llm import blocks, multiindex
+from clausemill.llm.bitsliced import BitSlicedIndex, exact_top_k, quantised, signed_digits
+from clausemill.llm.multiindex import BITS, MultiIndex, learn, nearest
 
 
 def vectors(spark, n=600, d=12, seed=0):
@@ -49,8 +49,8 @@ def test_candidates_hold_the_best():
                 assert set(np.flatnonzero(scores >= limit)) <= set(index.candidates(q, k))
 
 
-def test_quantise_is_floor_and_clips():
-    assert quantise(np.array([-0.001, 0.5, -0.5, 1e30, -1e30])).tolist() == [-1, 128, -128, 2**21 - 1, -(2**21)]
+def test_quantised_is_floor_of_any_size():
+    assert quantised(np.array([-0.001, 0.5, -0.5, 1e4, -9e3, 1e30])).tolist() == [-1, 128, -128, 2_560_000, -2_304_000, 256e30]
 
 
 @pytest.mark.parametrize("size", [(16384, 4096), (100, 3)])
@@ -100,12 +100,34 @@ def test_differing_vectors_of_an_id_all_count(spark):
 
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
+    near = rng.integers(0, 1 << 63, (1, BITS // 64)).astype(np.uint64)
+    codes = np.concatenate((rng.integers(0, 1 << 63, (1500, BITS // 64)).astype(np.uint64), near ^ (np.uint64(1) << rng.integers(0, 63, (500, BITS // 64)).astype(np.uint64))))
     index = MultiIndex(codes)
-    for radius in (0, 3, 7, 8, 20, 29, 64):
-        asked = codes[:1] ^ np.uint8(1)
-        want = np.flatnonzero(np.unpackbits(codes ^ asked, axis=1).sum(axis=1) <= radius)
-        assert index.within(asked, radius).tolist() == want.tolist()
+    for asked in (near[0], codes[0]):
+        for radius in (0, 3, 4, 15, 16, 60, 101, 130, BITS):
+            want = np.flatnonzero(np.bitwise_count(codes ^ asked).sum(axis=1) <= radius)
+            assert index.within(asked, radius).tolist() == want.tolist()
+
+
+def test_recall_where_the_table_is_larger_than_the_sample(spark, monkeypatch):
+    rows, df = vectors(spark, 6000, 24)
+    monkeypatch.setattr(multiindex, "SAMPLE", 400)
+    want = {(r[0], r[2]) for r in expected([r for r in rows if r[0] is not None], 20, 20, True, lambda a, b: float(a @ b))}
+    got = nearest(df).collect()
+    assert len(got) == len(want) and len({(r.query_id, r.vec_id) for r in got} & want) / len(want) >= 0.9
+
+
+def test_queries_with_too_few_codes_within_their_radius_get_all_the_same(spark, monkeypatch):
+    def narrow(*how):
+        model = learn(*how)
+        model.held = 1
+        return model
+
+    rows, df = vectors(spark, 300, 24)
+    monkeypatch.setattr(multiindex, "learn", narrow)
+    got = sorted(map(tuple, nearest(df).collect()))
+    want = expected(rows, 20, 20, True, lambda a, b: float(a @ b))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
 
 
 def test_nearest_has_recall_and_exact_scores(spark):
@@ -130,7 +152,7 @@ def test_lengths_matter_for_inner_products():
     for i in range(50):
         s = x @ x[i]
         top = np.argsort(-s)[:20]
-        hits += len(set(top) & set(index.within(asked[i : i + 1], model.radius)))
+        hits += len(set(top) & set(index.within(asked[i], model.radius(asked[i]))))
     assert hits / 1000 >= 0.9
 
 
