@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best_of, block_search, matrix, usable
+from .blocks import best_of, block_search, matrix, query_counts, usable
 from .common import stored, table
 
 SHIFT, K, EVERY = 3, 5, 50
@@ -170,7 +170,8 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     query id are over what all of its vectors found, as in the SQL.
     """
     rows = stored(usable(vectors, id_col, vector_col, nonzero=False).dropDuplicates(["id", "vector"]), "vectors")
-    return block_search(rows, rows.where(F.col("id") % every == 0), k, search_block(k), "long")
+    n, _, longest = query_counts(rows, every)
+    return block_search(rows, rows.where(F.col("id") % every == 0), n, longest, k, search_block(k), "long")
 
 
 def op5_bit_sliced_topk(spark, sf_dir: str) -> DataFrame:

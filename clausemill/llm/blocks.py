@@ -73,27 +73,29 @@ def merged(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tu
     return query[place < k], ids[place < k], scores[place < k]
 
 
-def block_search(vectors: DataFrame, asked: DataFrame, k: int, prepare: Callable, score_type: str, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def query_counts(vectors: DataFrame, every: int) -> tuple[int, int, int]:
+    """Queries (ids divisible by `every`) of the stored vectors, different ids among them, and the longest vector's length."""
+    own = vectors.where(F.col("id") % every == 0).agg(F.count(F.lit(1)), F.countDistinct("id"), F.coalesce(F.max(F.size("vector")), F.lit(1)))
+    return tuple(own.first())
+
+
+def block_search(vectors: DataFrame, asked: DataFrame, n: int, longest: int, k: int, prepare: Callable, score_type: str, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of asked its k best rows of vectors but those of its own id.
 
     vectors (id, vector) is a stored table. asked (id, vector and what else the
-    search needs) is written in blocks of at most about `queries` rows or BYTES.
-    prepare(ids, X) makes of a block of vectors a search(queries), which yields
-    (query_id, ids, scores) with the best k of the block for each of a table of
-    queries whose vectors have the same length, exact ties by smaller id. The
-    driver holds one block of queries at a time, and so does a task beside one
-    block of vectors and k rows for each query.
+    search needs) has n rows, with vectors of `longest` components at most, and
+    goes in blocks of about `queries` rows or BYTES; more than one block is
+    written by block first. prepare(ids, X) makes of a block of vectors a
+    search(queries), which yields (query_id, ids, scores) with the best k of the
+    block for each of a table of queries whose vectors have the same length,
+    exact ties by smaller id. The driver holds one block of queries at a time,
+    and so does a task beside one block of vectors and k rows for each query.
     """
     spark = vectors.sparkSession
-    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    each = max(1, min(queries, BYTES // (8 * (longest or 1))))
-    n_blocks = -(-n // each)
-    out = new_path(spark, "nearest")
+    each = max(1, min(queries, BYTES // (8 * longest)))
+    n_blocks = max(1, -(-n // each))
     kind = pa.int64() if score_type == "long" else pa.float64()
     schema = f"query_id long, vec_id long, score {score_type}"
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, n_blocks))).cast("int"))
-    path = new_path(spark, "queries")
-    dealt.repartition("block").write.partitionBy("block").parquet(path)
 
     def job(block: pa.Table) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)  # `each` queries, or BYTES
@@ -117,13 +119,17 @@ def block_search(vectors: DataFrame, asked: DataFrame, k: int, prepare: Callable
 
         return vectors.select("id", "vector").mapInArrow(run, schema)
 
-    spark.createDataFrame([], schema).write.parquet(out)
-    for block in range(n_blocks):
-        own = spark.read.schema(dealt.schema).parquet(path).where(F.col("block") == block).drop("block").toArrow()
-        if own.num_rows:
+    if n_blocks == 1:
+        best = job(asked.toArrow())
+    else:
+        dealt = asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks)).cast("int"))
+        path, out = new_path(spark, "queries"), new_path(spark, "nearest")
+        dealt.repartition("block").write.partitionBy("block").parquet(path)
+        for block in range(n_blocks):
+            own = spark.read.schema(dealt.schema).parquet(path).where(F.col("block") == block).drop("block").toArrow()
             job(own).write.mode("append").parquet(out)
+        best = spark.read.schema(schema).parquet(out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = spark.read.schema(schema).parquet(out)
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best_of, block_search, by_length, matrix, usable
+from .blocks import best_of, block_search, by_length, matrix, query_counts, usable
 from .common import stored, table
 
 BITS, SUBSTRING = 256, 16
@@ -36,16 +36,19 @@ SAMPLE, TRIALS, ROUNDS, RECALL, SEED = 8192, 256, 20, 0.95, 3
 WHOLE = 1 << 62
 
 
-def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Differing bits of each row of codes (n, BITS / 64 unsigned 64-bit words) and one code."""
-    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
+def distances(words: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Differing bits of each of n codes, given by word (BITS / 64, n), and one code."""
+    out = np.bitwise_count(words[0] ^ code[0]).astype(np.uint16)
+    for own, word in zip(words[1:], code[1:]):
+        out += np.bitwise_count(own ^ word)
+    return out
 
 
 @dataclass
 class Codes:
     projection: np.ndarray  # (components + 1) x BITS
     norm: float
-    sample: np.ndarray  # codes
+    sample: np.ndarray  # codes by word
     held: int  # codes of the sample that a radius holds
 
     def of(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -56,7 +59,7 @@ class Codes:
 
     def radius(self, code: np.ndarray) -> int:
         """The smallest radius around a query's code that holds enough of the sample; BITS if that is the whole sample."""
-        if self.held >= len(self.sample):
+        if self.held >= self.sample.shape[1]:
             return BITS
         return int(np.partition(distances(self.sample, code), self.held - 1)[self.held - 1])
 
@@ -75,8 +78,8 @@ def learn(x: np.ndarray, norm: float, k: int = K) -> Codes:
     for _ in range(ROUNDS):
         u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
         turn = w.T @ u.T
-    codes = Codes(axes @ turn / (norm or 1.0), norm, np.empty((0, BITS // 64), np.uint64), 0)
-    codes.sample = codes.of(x * norm, False)
+    codes = Codes(axes @ turn / (norm or 1.0), norm, np.empty((BITS // 64, 0), np.uint64), 0)
+    codes.sample = np.ascontiguousarray(codes.of(x * norm, False).T)
     asked = codes.of(x[:TRIALS] * norm, True)
     # By query: how many of the sample's codes are as near as each of its true neighbours.
     places = []
@@ -102,31 +105,33 @@ class MultiIndex:
     """One index for each substring: rows by its value."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.parts = codes.view(np.uint16)
-        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in self.parts.T]
-        self.starts = [np.searchsorted(c[o], np.arange((1 << SUBSTRING) + 1)).astype(np.int32) for c, o in zip(self.parts.T, self.order)]
+        self.words = np.ascontiguousarray(codes.T)
+        parts = np.ascontiguousarray(codes.view(np.uint16).T)
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in parts]
+        self.starts = [np.concatenate(([0], np.cumsum(np.bincount(c, minlength=1 << SUBSTRING)))).astype(np.int32) for c in parts]
+        self.values = [np.flatnonzero(np.diff(at)).astype(np.uint16) for at in self.starts]  # those that occur
+        self.times = [np.diff(at)[v] for at, v in zip(self.starts, self.values)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows at most `radius` bits from code (BITS / 64 words)."""
-        parts, values = self.parts.shape[1], code.view(np.uint16)
-        seen = np.zeros(len(self.codes), bool)
+        parts, values = len(self.order), code.view(np.uint16)
+        seen = np.zeros(self.words.shape[1], bool)
         for s in range(parts):
             # The shares, each with its zero counted, sum to radius + 1: not every substring can be beyond its own.
-            masks = _masks(min(SUBSTRING, (radius + 1) // parts - 1 + (s < (radius + 1) % parts)))
-            if len(masks) == 1 << SUBSTRING:
-                seen[:] = True
-                break
+            share = min(SUBSTRING, (radius + 1) // parts - 1 + (s < (radius + 1) % parts))
+            masks, there = _masks(share), self.values[s]
+            if len(there) < 8 * len(masks):  # fewer values to look at than to look up
+                near = np.bitwise_count(there ^ values[s]) <= share
+                seen[self.order[s][np.repeat(near, self.times[s])]] = True
+                continue
             near = values[s] ^ masks
             at = self.starts[s][near]
             n = self.starts[s][near.astype(np.int32) + 1] - at
-            some = np.flatnonzero(n)
-            if len(some):
-                at, n = at[some], n[some]
+            if n.any():
                 ends = np.cumsum(n)
                 seen[self.order[s][np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]] = True
         rows = np.flatnonzero(seen)
-        return rows[distances(self.codes[rows], code) <= radius]
+        return rows[distances(self.words[:, rows], code) <= radius]
 
 
 def search_block(models: dict[int, Codes], k: int) -> Callable:
@@ -183,15 +188,16 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     for r in some.collect():  # SAMPLE rows of each length, in expectation
         sample.setdefault(r.d, []).append((r.id, r.vector))
     models = {d: learn(np.array([v for _, v in sorted(own)], np.float64).reshape(-1, d), float(sizes[d][1]), k) for d, own in sample.items()}
-    asked = rows.where(F.col("id") % every == 0)
-    found = stored(block_search(rows, with_codes(asked, models), k, search_block(models, k), "double"), "found")
-    # Queries that got less than k, though there may be more: once more, whatever the distance.
+    asked = with_codes(rows.where(F.col("id") % every == 0), models)
+    n, n_ids, longest = query_counts(rows, every)
+    found = stored(block_search(rows, asked, n, longest, k, search_block(models, k), "double"), "found")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"))
-    short = stored(with_codes(asked, models).join(full, F.col("id") == F.col("_q"), "left_anti").withColumn("radius", F.lit(BITS)), "short")
-    if short.isEmpty():
+    if full.count() == n_ids:
         return found
-    again = block_search(rows, short, k, search_block(models, k), "double")
-    return found.join(short.select(F.col("id").alias("_q")).distinct(), F.col("query_id") == F.col("_q"), "left_anti").union(again)
+    # Queries that got less than k, though there may be more: once more, whatever the distance.
+    short = asked.join(full, F.col("id") == F.col("_q"), "left_anti").withColumn("radius", F.lit(BITS))
+    again = block_search(rows, short, n, longest, k, search_block(models, k), "double")
+    return found.join(full, F.col("query_id") == F.col("_q"), "left_semi").union(again)
 
 
 def op10_multi_index_ann(spark, sf_dir: str) -> DataFrame:
