@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from clausemill.llm.packing import CAPACITY, Packing, TokenIds, best_fit, cross, cut, evolve, filled, fitness, pack, slots, tokenizer_paths
+from clausemill.llm.packing import CAPACITY, Packing, TokenIds, best_fit, cross, cut, evolve, filled, fitness, lower_bound, pack, slots, start, tokenizer_paths
 from tokenizers import Tokenizer
 
 
@@ -41,7 +41,7 @@ def test_packings_hold_every_document_once():
     for _ in range(40):
         tally = {rng.randint(1, 100): rng.randint(1, 30) for _ in range(rng.randint(1, 40))}
         a, b = best_fit(tally, 100), best_fit(tally, 100, rng)
-        for genes in (a, b, cross(a, b, tally, 100, rng), evolve(tally, 100, 3, [b])):
+        for genes in (a, b, start(tally, 100, rng), cross(start(tally, 100, rng), b, tally, 100, rng), cross(a, b, tally, 100, rng), evolve(tally, 100, 3, [b])):
             assert total(genes) == tally and all(filled(p) <= 100 and n > 0 for p, n in genes)
         assert fitness(evolve(tally, 100, 3, [b])) >= max(fitness(a), fitness(b))
 
@@ -51,10 +51,50 @@ def test_best_fit_makes_few_patterns():
     assert len(best_fit(tally, 200)) <= 4 * 200
 
 
-def test_evolution_beats_best_fit():
-    # Pairs of 51 + 49 and triples fill sequences exactly, but best fit decreasing spoils some.
-    tally = {44: 10, 28: 10, 28 + 0: 10, 33: 6, 34: 3, 24: 9, 22: 9, 54: 9}
-    assert -fitness(evolve(tally, 100, 1, [], population=8, generations=30))[0] <= -fitness(best_fit(tally, 100))[0]
+def fewest(lengths, capacity):
+    """Sequences of an optimal packing, by trying all."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k, room in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.items():
+            go(i + 1, [*rooms[:room], rooms[room] - lengths[i], *rooms[room + 1 :]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_evolution_finds_optimal_packings_where_best_fit_does_not():
+    rng = random.Random(3)
+    better = 0
+    for _ in range(250):
+        lengths = [rng.randint(5, 26) for _ in range(rng.randint(6, 11))]
+        tally = {x: lengths.count(x) for x in lengths}
+        least, plain = fewest(lengths, 50), -fitness(best_fit(tally, 50))[0]
+        found = -fitness(evolve(tally, 50, 1, [], population=8, generations=20))[0]
+        assert lower_bound(tally, 50) <= least <= found <= plain
+        assert found == least
+        better += found < plain
+    assert better > 3
+
+
+def test_crossover_improves_on_its_parents():
+    """Where the packings to start from miss the bound, those that the islands end with are fuller."""
+    rng = random.Random(5)
+    tally = {}
+    for _ in range(300):
+        x = rng.randint(400, 1000)
+        tally[x] = tally.get(x, 0) + 1
+    rng = random.Random(1)
+    first = max([best_fit(tally, 2048), *(start(tally, 2048, rng) for _ in range(4))], key=fitness)
+    assert fitness(evolve(tally, 2048, 1, [], generations=30)) > fitness(first)
 
 
 def test_slots_are_gapless():
