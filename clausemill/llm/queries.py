@@ -10,6 +10,7 @@ from .bitsliced import ORACLE as OP5_SQL
 from .bitsliced import op5_bit_sliced_topk
 from .langid import op9_language_id
 from .licences import op7_licence_scan
+from .licences import oracle as op7_sql
 from .maintext import op6_main_text
 from .mixing import op1_source_mix
 from .multiindex import op10_multi_index_ann
@@ -33,4 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_topk": OP5_SQL,
+    "op7_licence_scan": op7_sql(),
 }

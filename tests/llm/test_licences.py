@@ -1,7 +1,9 @@
 import random
 import re
 
-from clausemill.llm.licences import NOTICES, gram_hashes, scan, spans, words_of
+import duckdb
+
+from clausemill.llm.licences import BODIES, NOTICES, TEMPLATES, gram_hashes, op7_licence_scan, oracle, scan, spans, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -71,3 +73,37 @@ def test_repeats_nulls_and_empty(spark):
     assert got == sorted([(1, "mit", 5), (1, "mit", 5), (1, "", 3), (None, "mit", 5), (None, "", 0), (2, "mit", 2500)], key=str)
     assert scan(df.limit(0)).count() == 0
     assert len(gram_hashes(words_of("a b"))) == 0 and len(gram_hashes(words_of("a b c d"))) == 2
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    """Also on texts with edited and repeated notices, and on rows that repeat ids."""
+    rng = random.Random(7)
+    texts = documents()
+    for label, notice in TEMPLATES:
+        words = notice.split()
+        for _ in range(3):
+            cut = [w for w in words if rng.random() > rng.choice((0.0, 0.02, 0.1))]
+            texts.append(filler(rng, 20) + " " + " ".join(cut) + " " + filler(rng, 5) + (" " + notice if rng.random() < 0.3 else ""))
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, "all rights reserved"), (0, texts[8]), (0, texts[8])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in op7_licence_scan(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=repr) == sorted(con.sql(oracle()).fetchall(), key=repr)
+    assert len({r[6] for r in got}) > 12
+
+
+def test_whole_licences_and_look_alikes(spark):
+    bodies = [f"Copyright 2020 Someone\n{text}\nmore words" for _, text in BODIES]
+    others = ["The MIT campus was licensed under the old rules", "released under the MIT umbrella of institutes", "he walked all the way under the GNU and the license plate", "subject to the terms of the public house", "permission is hereby granted to enter", "Licensed under the Apache tribe's law", "the software is provided to all users free of charge", "by CC", "rights reserved for all"]
+    got = {r.doc_id: r for r in scan(frame(spark, bodies + others)).collect()}
+    for i, (label, _) in enumerate(BODIES):
+        assert label in got[i].labels.split(",") and got[i].score >= 0.99
+    assert "bsd-3-clause" not in got[1].labels.split(",")
+    assert all(got[i].labels == "" for i in range(len(bodies), len(bodies) + len(others)))
+
+
+def test_very_long_text(spark):
+    text = "word other " * 400_000 + NOTICES[0][1] + " tail" * 1000
+    row = scan(frame(spark, [text])).first()
+    assert row.labels == "mit" and row.n_words == 800_005 + 1000
