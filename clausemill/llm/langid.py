@@ -226,7 +226,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     all others get a learned language, and rejected says whether the score or
     the share of known n-grams is below its calibrated limit. Null ids are in fold 0. Without labelled rows
     nothing is learned and every text is `und`. Repeated rows get the same
-    result each. Of other columns nothing is read.
+    result each; equally likely languages go by name. A text of any length is one
+    row, read CHUNK characters at a time. An empty table gives an empty result.
+    Of other columns nothing is read.
     """
     model = fit_model(docs, id_col, text_col, lang_col, folds, held_out)
     found = docs.select(F.col(id_col), (fold(id_col, folds) == held_out).alias("held_out"), identify(docs, F.col(text_col), model).alias("_found"))
@@ -234,7 +236,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language isn't rejected, with their columns as they are."""
+    """The rows of docs whose language isn't rejected, with their columns as they are.
+
+    Null texts and texts without a letter are rejected, and every row where
+    nothing was learned. Repeated rows stay or go together. An empty table stays
+    empty.
+    """
     model = fit_model(docs, id_col, text_col, lang_col)
     found = docs.select(whole_rows(docs), identify(docs, F.col(text_col), model).alias("found"))
     return found.where(~F.col("found.rejected")).select("doc.*")

@@ -150,8 +150,9 @@ def mix(docs: DataFrame, id_cols: list[str], text_col: str = "text", source_col:
     words is taken with every whole pass and adds nothing. Repeated rows are
     taken one by one. Which documents of a length are taken is decided by
     order_cols (else id_cols), so these must not depend on how the rows are
-    dealt. An empty table gives an empty result. Other columns,
-    whatever their names, aren't looked at.
+    dealt; rows equal in these are interchangeable. A text of any length is one
+    row, whose words are counted in place. An empty table gives an empty result.
+    Other columns, whatever their names, aren't looked at.
     """
     sized = stored(
         docs.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols or id_cols)], F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
@@ -193,3 +194,18 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can express: doc_id, size, source_size and target of all documents."""
+    return mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target")
+
+
+#: The level up to which sources are filled is that of the first source, by how soon it is full, which isn't full at it.
+TARGETS_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS top, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+l AS (SELECT top / w AS full_at, (total - coalesce(sum(top) OVER (ORDER BY top / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY top / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+x AS (SELECT arg_min(level, full_at) AS level FROM l WHERE level <= full_at)
+SELECT d.doc_id, d.size, c.source_size, least(c.top, coalesce(c.w * x.level, c.top)) AS target FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, x"""

@@ -392,6 +392,12 @@ def least_frequent(tokens: DataFrame, most: int = FREQUENT) -> int:
     return least
 
 
+def between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum from each start to its end; starts rise, no stretch is empty. Each is summed on its own, so it doesn't depend on the others."""
+    stretches = np.column_stack((starts, ends)).ravel()
+    return np.add.reduceat(np.append(values, 0.0).astype(np.float64), stretches)[::2]
+
+
 class Scores:
     """Rows of all documents of a task: kind 0 has what is known of a document, kind 1 a token that is still to be joined."""
 
@@ -403,8 +409,7 @@ class Scores:
     def batch(self, ids: pa.Array, held_out: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         scores: list[float] = []
         for codes, starts, ends, begun in self.windows(texts):
-            sums = np.concatenate(([0.0], np.cumsum(self.lengths[codes], dtype=np.float64)))
-            own = (sums[ends] - sums[starts]).tolist()
+            own = between(self.lengths[codes], starts, ends).tolist()
             if begun:
                 scores += own
             else:
@@ -415,13 +420,13 @@ class Scores:
         slot = token & (len(self.held) - 1)
         known = (self.held[slot] == token) & (self.count[slot] > 0)
         ends = np.cumsum(size)
-        total = np.concatenate(([0.0], np.cumsum(np.where(known, self.logs[slot], 0.0))))
+        total = between(np.where(known, self.logs[slot], 0.0), ends - size, ends)
         seen = np.concatenate(([0], np.cumsum(known)))
         rows = np.arange(self.next, self.next + len(texts))
         self.next += len(texts)
         kinds = [pa.int64(), ids.type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         n = len(texts)
-        whole = [pa.array(rows), ids, held_out, pa.array(size), pa.array(seen[ends] - seen[ends - size]), pa.array(total[ends] - total[ends - size]), pa.array(scores), pa.nulls(n, pa.int64())]
+        whole = [pa.array(rows), ids, held_out, pa.array(size), pa.array(seen[ends] - seen[ends - size]), pa.array(total), pa.array(scores), pa.nulls(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(whole, names=self.names)
         rest = ~known
         m = int(rest.sum())
@@ -542,7 +547,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     text is empty: it has the end token alone, and its score is that of an end
     at once. Without training rows each byte has probability 1/256 and every
     token's count is 0. Repeated rows train and are scored each. Tokens are
-    counted by 64-bit hashes. Other columns aren't looked at.
+    counted by 64-bit hashes; a token's place among those of equal count changes
+    no result. U+0000 in a text is the same symbol as the end. A text of any
+    length is one row; one above TOGETHER bytes is looked at window by window. An
+    empty table gives an empty result. Other columns aren't looked at.
     """
     own = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -561,3 +569,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
 def op8_ppm_score(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), order=DEEP)
+
+
+def token_baseline(spark, sf_dir: str) -> DataFrame:
+    """The part of the scores that SQL can express: all columns but the model's, the baseline's score to six places."""
+    found = score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def baseline_sql() -> str:
+    """crc32 is worked out byte by byte from the ids' digits."""
+    table_of = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table_of.append(i)
+    step = f"xor(x >> 8, list_extract({table_of}, CAST(xor(x & 255, ascii(c)) + 1 AS BIGINT)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, c: {step.replace('ascii(c)', 'c')}), 4294967295)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce({crc} % {FOLDS}, 0) = {HELD_OUT} AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' end') AS ws FROM documents),
+w AS MATERIALIZED (SELECT rid, held_out, unnest(ws) AS t FROM d),
+n AS MATERIALIZED (SELECT t, count(*) AS n FROM w WHERE NOT held_out GROUP BY t),
+v AS (SELECT coalesce(sum(n), 0) AS total, count(*) AS kinds FROM n),
+s AS (SELECT rid, count(*) AS n_tokens, count(n.n) AS n_known, sum(log10((coalesce(n.n, 0) + 1) / CAST(total + kinds + 1 AS DOUBLE))) AS base FROM w LEFT JOIN n USING (t), v GROUP BY rid)
+SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS BIGINT) AS n_known, CAST(total AS BIGINT) AS train_tokens, round(base, 6) AS base_score FROM d JOIN s USING (rid), v"""

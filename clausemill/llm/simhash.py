@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, numbered_rows, stored, table
+from .common import LOWER, discard, numbered_rows, stored, table
 
 WIDTHS = (22, 21, 21)
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code.
@@ -162,8 +162,8 @@ def bucket_links(key: int, fp: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; only the last bucket of a batch is carried on."""
-    kept_key, kept_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows come sorted by key; only the last bucket of a batch is carried on, as the parts that it came in."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
 
     def search(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         fp = fp.view(np.uint64)
@@ -186,13 +186,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     for batch in batches:
-        key = np.concatenate((kept_key, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((kept_fp, batch.column(1).to_numpy(zero_copy_only=False)))
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
+        key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(key):
+            continue
+        if kept and (key[-1] != kept[0][0][0] or key[0] != key[-1]):
+            cut = int(np.searchsorted(key, key[-1]))
+            yield search(*map(np.concatenate, zip(*kept, (key[:cut], fp[:cut]))))
+            kept, key, fp = [], key[cut:], fp[cut:]
+        elif not kept and key[0] != key[-1]:
+            cut = int(np.searchsorted(key, key[-1]))
             yield search(key[:cut], fp[:cut])
-        kept_key, kept_fp = key[cut:].copy(), fp[cut:].copy()
-    yield search(kept_key, kept_fp)
+            key, fp = key[cut:], fp[cut:]
+        kept.append((key.copy(), fp.copy()))
+    if kept:
+        yield search(*map(np.concatenate, zip(*kept)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,10 +221,12 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "large")
+        discard(stars)
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
         small = large.join(low, F.col("a") == F.col("_a"))
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         stars = stored(small, "small")
+        discard(large)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
@@ -235,7 +244,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like others. component_id is the smallest id of the rows whose
     fingerprints are connected by links of at most 4 differing bits; null ids
     are passed over, and a group of only null ids has a null component_id.
-    Repeated rows are in one component. Other columns aren't looked at.
+    Repeated rows are in one component; ties play no part. A text of any length is
+    one row, hashed by one task in portions. An empty table gives an empty
+    result. Other columns aren't looked at.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {id_type}, fp long")
@@ -252,7 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component the row of the smallest id stays, and of its repeats one."""
+    """The rows of docs without near copies, with all their columns: of each component the row of the smallest id stays, and of its repeats one.
+
+    Null ids come last. Null and empty texts are near copies of each other, and
+    of whatever has a fingerprint near zero. An empty table stays empty.
+    """
     numbered = numbered_rows(docs)
     found = near_duplicates(numbered.select("row", F.col(f"doc.`{text_col}`").alias("text")), "row", "text").select(F.col("row").alias("r"), "component_id")
     ids = numbered.select("row", F.col(f"doc.`{id_col}`").alias("id"))

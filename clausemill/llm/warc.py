@@ -280,3 +280,13 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archive = stored(to_archive(pages), "warc", compression="zstd")
     return read_archive(archive, pages.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
+
+
+ORACLE = """
+WITH d AS (SELECT page_id, url, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT s AS fs, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY s HAVING count(*) > 1),
+r AS (SELECT d.*, first, fs IS NOT NULL AND page_id IS DISTINCT FROM first AS again, substr(sha1(coalesce(CAST(page_id AS VARCHAR), 'None') || '/' || s), 1, 32) AS u FROM d LEFT JOIN f ON s = fs)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url,
+  '<urn:uuid:' || substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab89ab89ab89ab', CAST(instr('0123456789abcdef', substr(u, 17, 1)) AS BIGINT), 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) || '>' AS record_id
+FROM r"""
