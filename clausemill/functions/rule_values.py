@@ -9,6 +9,8 @@ confidence of its own.
 
 from __future__ import annotations
 
+import re
+
 # Vocabularies, patterns, confidences and weights decide which
 # clause gets which label, so they are stated as they must be.
 VOCABULARY = {
@@ -282,6 +284,14 @@ FUNCTION_WORDS = frozenset(
 )
 
 #: What a label means to the person who agrees, in one line, by rule.
+# What a word is, how a company and the reader are named, and which marks a quote doesn't begin, end or run on with.
+WORDS = re.compile(r"[a-z’']+", re.IGNORECASE)
+DEFINITION = re.compile(r"\(([^()\n]{1,160})\)")
+QUOTED = re.compile(r"[\"“”]([^\"“”\n]{1,40})[\"“”]")
+READER = re.compile(r"\byou\s+(?:[a-z]+\s+){0,2}$", re.IGNORECASE)
+EDGE_MARKS, END_MARKS, CLOSING = ",;:-)", ",;:-(“‘", " .;:!?\"'”’)"
+UNLIKE_REST = re.compile(r"[.,;!?\n]")
+
 READINGS = {
     "arbitration": "A private arbitrator, not a court, settles disputes for good.",
     "class_waiver": "Claims can only be made alone, never together with others.",
