@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,23 +14,33 @@ def decisions(requests: DataFrame, limit: int, per_visitor: int) -> DataFrame:
 
     The closed form of the ledger without refunds: a visitor's first
     `per_visitor` requests of a day are eligible (those without a visitor
-    always), and a request is denied for the day once `limit` eligible ones
-    precede it. The day's window holds its eligible requests up to the limit in
-    effect, but reads all of them in order; days are independent.
+    always), and the day is full once `limit` eligible ones have come. These
+    first ones are found by a partial top-k; every request then counts, among
+    the at most `limit` of its day, those before it. So no task reads all
+    requests of a day, only those of one visitor.
     """
-    by_visitor = Window.partitionBy("day", "visitor").orderBy("ts", "request_id")
-    before = Window.partitionBy("day").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    turn = F.row_number().over(by_visitor)
-    rows = requests.withColumn("_turn", turn).withColumn("_able", F.col("visitor").isNull() | (F.col("_turn") <= per_visitor))
-    rows = rows.withColumn("_before", F.coalesce(F.sum(F.col("_able").cast("long")).over(before), F.lit(0)))
-    full = F.lit(limit <= 0) | (F.col("_before") >= limit)
-    reason = F.when(full, "daily").when(~F.col("_able"), "visitor")
+    cap = max(0, limit)
+    who = F.coalesce(F.concat(F.lit("v"), "visitor"), F.concat(F.lit("r"), F.col("request_id").cast("string")))  # requests without a visitor aren't one group
+    by_visitor = Window.partitionBy("day", "_who").orderBy("ts", "request_id")
+    rows = requests.withColumn("_who", who).withColumn("_turn", F.row_number().over(by_visitor))
+    rows = rows.withColumn("_able", F.col("visitor").isNull() | (F.col("_turn") <= per_visitor))
+    in_turn = F.row_number().over(Window.partitionBy("day").orderBy("ts", "request_id"))
+    first = rows.where("_able").select("day", "ts", "request_id").withColumn("_n", in_turn).where(F.col("_n") <= cap)
+    first = first.groupBy(F.col("day").alias("_day")).agg(F.collect_list(F.struct("ts", "request_id")).alias("_first"))
+    rows = rows.join(first, F.col("day").eqNullSafe(F.col("_day")), "left")
+    earlier = F.filter("_first", lambda x: (x["ts"] < F.col("ts")) | (x["ts"] == F.col("ts")) & (x["request_id"] < F.col("request_id")))
+    rows = rows.withColumn("_before", F.coalesce(F.when(F.col("_first").isNotNull(), F.size(earlier)), F.lit(0)).cast("long"))
+    reason = F.when(F.col("_before") >= cap, "daily").when(~F.col("_able"), "visitor")
     rows = rows.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
-    used = F.least(F.col("_before"), F.lit(max(0, limit)).cast("long")) + F.col("allowed").cast("long")
+    used = F.col("_before") + F.col("allowed").cast("long")
     # Units that the visitor has taken up to and with this request.
     taken = F.sum(F.col("allowed").cast("long")).over(by_visitor.rowsBetween(Window.unboundedPreceding, 0))
     visitor_used = F.when(F.col("visitor").isNull(), F.lit(0).cast("long")).otherwise(taken)
-    return rows.withColumn("used", used).withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.lit(max(0, limit)) - F.col("used"))).withColumn("visitor_remaining", F.greatest(F.lit(0).cast("long"), F.lit(per_visitor) - visitor_used)).drop("_turn", "_able", "_before")
+    none = F.lit(0).cast("long")
+    return (
+        rows.withColumn("used", used).withColumn("remaining", F.greatest(none, F.lit(cap) - F.col("used")))
+        .withColumn("visitor_remaining", F.greatest(none, F.lit(per_visitor) - visitor_used)).drop("_who", "_turn", "_able", "_before", "_first", "_day")
+    )
 
 
 def day_status(decided: DataFrame, limit: int) -> DataFrame:
@@ -36,6 +48,17 @@ def day_status(decided: DataFrame, limit: int) -> DataFrame:
     return decided.groupBy("day").agg(F.count(F.lit(1)).alias("requests"), used.alias("used"), F.greatest(F.lit(0).cast("long"), F.lit(max(0, limit)) - used).alias("remaining"), F.count_if(F.col("reason") == "visitor").alias("visitor_denied"), F.count_if(F.col("reason") == "daily").alias("daily_denied"))
 
 
+def visitor_status(decided: DataFrame, per_visitor: int) -> DataFrame:
+    """used and remaining of each visitor and day."""
+    used = F.count_if("allowed")
+    return decided.where(F.col("visitor").isNotNull()).groupBy("day", "visitor").agg(used.alias("used"), F.greatest(F.lit(0).cast("long"), F.lit(per_visitor) - used).alias("remaining"))
+
+
+def new_salts(spark: SparkSession, days: list[str]) -> DataFrame:
+    """day and a random salt of 32 hexadecimal digits, drawn once a day, kept for that day and then forgotten."""
+    return spark.createDataFrame([(d, secrets.token_hex(16)) for d in days], "day string, salt string")
+
+
 def hmac_sha256(key: Column, message: Column) -> Column:
     """HMAC-SHA256 (hex) of text columns, from sha2 alone; the key is at most 64 bytes."""
 

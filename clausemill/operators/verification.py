@@ -46,29 +46,36 @@ def parsed_items(outputs: DataFrame, id_col: str = "doc_id", json_col: str = "ou
 def placed_quotes(items: DataFrame, docs: DataFrame, clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """items with clause_id, quote_start, quote_end, moved and reason (null if the quote stands).
 
-    docs: id, text. clauses: id, clause_id, start, end. The first reason that
-    holds counts. A quote found once in another clause moves there; of several
-    items for one clause the first stays. All matching is by code points.
+    docs: id, text. clauses: id, clause_id, start, end, and body if it is there.
+    The first reason that holds counts. A quote found once in another clause
+    moves there; of several items for one clause the first stays. All matching
+    is by code points. A quote is sought in the body of its claimed clause; only
+    the others meet the whole text, all those of a document at once.
     """
     quote = F.regexp_replace("quote", BLANK, "")
     base = items.withColumn("quote", F.when(~F.col("malformed"), quote))
     text = docs.select(F.col(id_col), F.col("text").alias("_text"))
-    spans = clauses.select(F.col(id_col), F.col("clause_id").cast("long").alias("_cid"), F.col("start").cast("int").alias("_s"), F.col("end").cast("int").alias("_e"))
-    rows = base.join(text, id_col, "left")
-    own = spans.withColumnsRenamed({id_col: "_d"})
-    rows = rows.join(own, (F.col(id_col) == F.col("_d")) & (F.col("claimed_id") == F.col("_cid")), "left").drop("_d", "_cid")
-    slice_ = F.substring("_text", F.col("_s") + 1, F.col("_e") - F.col("_s"))
-    inside = F.when(F.col("_s").isNotNull(), F.position(F.col("quote"), slice_)).otherwise(0)
-    first = F.position(F.col("quote"), F.col("_text"))
-    rows = rows.withColumn("_in", F.when(inside > 0, F.col("_s") + inside - 1)).withColumn("_first", F.when(first > 0, first - 1)).withColumn("_again", F.position(F.col("quote"), F.col("_text"), first + 1) > 0).drop("_text", "_s", "_e")
+    if "body" not in clauses.columns:
+        cut = F.substring("_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+        clauses = clauses.join(text, id_col).withColumn("body", cut).drop("_text")
+    spans = clauses.select(F.col(id_col).alias("_d"), F.col("clause_id").cast("long").alias("_cid"), F.col("start").cast("int").alias("_s"), F.col("end").cast("int").alias("_e"), F.col("body").alias("_body"))
+    rows = base.join(spans.drop("_e"), (F.col(id_col) == F.col("_d")) & (F.col("claimed_id") == F.col("_cid")), "left").drop("_d", "_cid")
+    inside = F.position(F.col("quote"), F.col("_body"))
+    rows = rows.withColumn("_in", F.when(inside > 0, F.col("_s") + inside - 1)).drop("_s", "_body")
     # Quotes below the size of evidence stand only where they are a whole clause.
     short = ~((F.length("quote") >= EVIDENCE_CHARS) | (F.size(F.split("quote", r"\s+")) >= EVIDENCE_WORDS))
-    bodies = docs.select(F.col(id_col), "text").join(clauses.select(id_col, "start", "end"), id_col)
-    bodies = bodies.select(F.col(id_col).alias("_b"), F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("_body"))
-    bodies = bodies.where(F.length("_body") < EVIDENCE_CHARS).distinct().withColumn("_whole", F.lit(True))
+    bodies = spans.where(F.length("_body") < EVIDENCE_CHARS).select(F.col("_d").alias("_b"), "_body").distinct().withColumn("_whole", F.lit(True))
     rows = rows.withColumn("_short", short).join(bodies, (F.col(id_col) == F.col("_b")) & (F.col("quote") == F.col("_body")), "left").drop("_b", "_body")
-    other = spans.withColumnsRenamed({id_col: "_d", "_cid": "_oid", "_s": "_os", "_e": "_oe"})
-    rows = rows.join(other, (F.col(id_col) == F.col("_d")) & F.col("_in").isNull() & ~F.col("_again") & (F.col("_os") <= F.col("_first")) & (F.col("_first") < F.col("_oe")), "left")
+    sought = F.col("_in").isNull() & ~F.col("malformed")
+    once = rows.where(sought).groupBy(id_col).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != id_col])).alias("_items")).join(text, id_col, "left")
+
+    def found(x: Column) -> Column:
+        first = F.position(x["quote"], F.col("_text"))
+        return F.struct(x.alias("x"), F.when(first > 0, first - 1).alias("_first"), (F.position(x["quote"], F.col("_text"), first + 1) > 0).alias("_again"))
+
+    missed = once.select(id_col, F.explode(F.transform("_items", found)).alias("_i")).select(id_col, "_i.x.*", "_i._first", "_i._again")
+    missed = missed.join(spans.drop("_body").withColumnsRenamed({"_cid": "_oid", "_s": "_os", "_e": "_oe"}), (F.col(id_col) == F.col("_d")) & ~F.col("_again") & (F.col("_os") <= F.col("_first")) & (F.col("_first") < F.col("_oe")), "left").drop("_d", "_os")
+    rows = rows.where(~sought).unionByName(missed, allowMissingColumns=True)
     reason = (
         F.when(F.col("malformed"), "malformed").when(F.col("quote").contains("\n"), "crosses_clause").when(F.col("_short") & F.col("_whole").isNull(), "too_short")
         .when(F.col("_in").isNotNull(), None).when(F.col("_first").isNull(), "not_found").when(F.col("_again"), "ambiguous").when(F.col("_oid").isNull(), "not_found")
@@ -78,7 +85,7 @@ def placed_quotes(items: DataFrame, docs: DataFrame, clauses: DataFrame, id_col:
     rows = rows.withColumn("clause_id", F.when(F.col("reason").isNull(), F.when(F.col("_in").isNotNull(), F.col("claimed_id")).otherwise(F.col("_oid")))).withColumn("quote_start", F.when(F.col("reason").isNull(), F.coalesce("_in", "_first")))
     turn = F.row_number().over(Window.partitionBy(id_col, "clause_id").orderBy("item_no"))
     rows = rows.withColumn("reason", F.when(F.col("clause_id").isNotNull() & (turn > 1), "duplicate").otherwise(F.col("reason")))
-    return rows.withColumn("quote_end", F.col("quote_start") + F.length("quote")).drop("_in", "_first", "_again", "_short", "_whole", "_d", "_oid", "_os", "_oe")
+    return rows.withColumn("quote_end", F.col("quote_start") + F.length("quote")).drop("_in", "_first", "_again", "_short", "_whole", "_oid", "_oe")
 
 
 def verification_report(placed: DataFrame, id_col: str = "doc_id") -> DataFrame:

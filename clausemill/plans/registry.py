@@ -191,8 +191,9 @@ def rule_catalogue(spark, sf_dir):
 _CLAUSES = f'SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS clause_id, start, "end", body FROM ({_LINES})'
 _ITEMS = f"""
 SELECT d.doc_id, CAST(1 AS INTEGER) AS item_no, CAST(1 + d.doc_id % 4 AS BIGINT) AS claimed_id, split_part(b.text, '.', 1) || '.' AS quote FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
-UNION ALL SELECT doc_id, CAST(1 + clause_id AS INTEGER), clause_id + doc_id % 2, substring(body, 1, 24) FROM ({_CLAUSES}) WHERE clause_id <= 6
-UNION ALL SELECT doc_id, CAST(20 + clause_id AS INTEGER), clause_id, substring(body, 3, 30) FROM ({_CLAUSES}) WHERE clause_id <= 2"""
+UNION ALL SELECT doc_id, CAST(3 * clause_id AS INTEGER), clause_id + doc_id % 2, substring(body, 1, 24) FROM ({_CLAUSES})
+UNION ALL SELECT doc_id, CAST(3 * clause_id + 1 AS INTEGER), clause_id, substring(body, 3, 30) FROM ({_CLAUSES})
+UNION ALL SELECT doc_id, CAST(3 * clause_id + 2 AS INTEGER), clause_id, body FROM ({_CLAUSES})"""
 _PLACED = f"""
 WITH c AS MATERIALIZED ({_CLAUSES}), i AS (SELECT doc_id, item_no, claimed_id, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS quote FROM ({_ITEMS})),
 t AS MATERIALIZED ({TERMS_SQL}),
@@ -220,8 +221,9 @@ def placed(spark, sf_dir):
     items = own.select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(marks.select("item_id", first.alias("quote")), "item_id")
     items = items.select("doc_id", F.lit(1).alias("item_no"), (1 + F.col("doc_id") % 4).alias("claimed_id"), "quote")
     c = F.col("clause_id")
-    items = items.union(clauses.where(c <= 6).select("doc_id", (1 + c).cast("int"), c + F.col("doc_id") % 2, F.substring("body", 1, 24)))
-    items = items.union(clauses.where(c <= 2).select("doc_id", (20 + c).cast("int"), c, F.substring("body", 3, 30)))
+    items = items.union(clauses.select("doc_id", (3 * c).cast("int"), c + F.col("doc_id") % 2, F.substring("body", 1, 24)))
+    items = items.union(clauses.select("doc_id", (3 * c + 1).cast("int"), c, F.substring("body", 3, 30)))
+    items = items.union(clauses.select("doc_id", (3 * c + 2).cast("int"), c, "body"))
     return verification.placed_quotes(items.withColumn("malformed", F.lit(False)), own.select("doc_id", "text"), clauses)
 
 
@@ -318,12 +320,12 @@ def visitor_names(spark, sf_dir):
     return r.withColumn("name", quota.visitor_name(F.substring(F.sha2("day", 256), 1, 32), F.col("visitor")))
 
 
-_CACHE = "SELECT sha256(text) AS text_sha256, 'seg-2/p-' || CAST(doc_id % 3 AS VARCHAR) AS pipeline, CASE WHEN doc_id % 11 = 0 THEN 'broken' ELSE '{\"verified\": ' || CAST(doc_id AS VARCHAR) || '}' END AS analysis, CAST(1000000 + doc_id % 13 AS VARCHAR) AS created_at FROM documents WHERE doc_id % 5 <> 0"
+_CACHE = "SELECT sha256(text) AS text_sha256, 'seg-2/p-' || CAST(doc_id % 3 AS VARCHAR) AS pipeline, CASE WHEN doc_id % 11 = 0 THEN 'broken' ELSE '{\"verified\": ' || CAST(doc_id AS VARCHAR) || '}' END AS analysis, CAST(1000000 + doc_id % 13 AS VARCHAR) AS created_at FROM documents"
 
 
 def cache(spark, sf_dir):
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").where(i % 5 != 0).select(
+    return table(spark, sf_dir, "documents").select(
         F.sha2("text", 256).alias("text_sha256"), F.concat(F.lit("seg-2/p-"), (i % 3).cast("string")).alias("pipeline"),
         F.when(i % 11 == 0, "broken").otherwise(F.concat(F.lit('{"verified": '), i.cast("string"), F.lit("}"))).alias("analysis"), (1000000 + i % 13).cast("string").alias("created_at")
     )
@@ -337,9 +339,11 @@ def cache_latest(spark, sf_dir):
     return store.latest(cache(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, r.text_sha256, r.pipeline FROM (SELECT doc_id, sha256(text) AS text_sha256, 'seg-2/p-' || CAST(doc_id % 3 AS VARCHAR) AS pipeline FROM documents) r WHERE NOT EXISTS (SELECT 1 FROM ({_LATEST}) c WHERE c.text_sha256 = r.text_sha256 AND c.pipeline = r.pipeline AND c.analysis <> 'broken')")
+@query(f"SELECT doc_id, r.text_sha256, r.pipeline FROM (SELECT doc_id, sha256(text) AS text_sha256, CASE WHEN doc_id % 5 = 0 THEN 'seg-2/p-new' ELSE 'seg-2/p-' || CAST(doc_id % 3 AS VARCHAR) END AS pipeline FROM documents) r WHERE NOT EXISTS (SELECT 1 FROM ({_LATEST}) c WHERE c.text_sha256 = r.text_sha256 AND c.pipeline = r.pipeline AND c.analysis <> 'broken')")
 def cache_misses(spark, sf_dir):
-    asked = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.concat(F.lit("seg-2/p-"), (F.col("doc_id") % 3).cast("string")).alias("pipeline"))
+    i = F.col("doc_id")
+    pipeline = F.when(i % 5 == 0, "seg-2/p-new").otherwise(F.concat(F.lit("seg-2/p-"), (i % 3).cast("string")))
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), pipeline.alias("pipeline"))
     return store.misses(asked, cache(spark, sf_dir)).select("doc_id", "text_sha256", "pipeline")
 
 

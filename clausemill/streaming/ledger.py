@@ -12,11 +12,22 @@ OUT = "request_id long, day string, visitor string, kind string, allowed boolean
 STATE = "used long, visitors map<string, long>"
 
 
-def ledger(limit: int, per_visitor: int):
-    """The state function. kind: consume or refund. Within a batch rows go by ts, then request_id; a late row of an older day is taken, not dropped."""
+#: Milliseconds after a day's last request that its counters are kept: a day, and one more for what is late.
+KEEP_MS = 2 * 24 * 3600 * 1000
+
+
+def ledger(limit: int, per_visitor: int, keep_ms: int | None = None):
+    """The state function. kind: consume or refund. Within a batch rows go by ts, then request_id.
+
+    A late row of an older day is taken, not dropped; once the day's counters
+    are purged, keep_ms after its last request, it starts new ones.
+    """
     cap = max(0, limit)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used, visitors = (state.get[0], dict(state.get[1])) if state.exists else (0, {})
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         out = []
@@ -33,11 +44,19 @@ def ledger(limit: int, per_visitor: int):
                 visitors[visitor] = own
             out.append((r.request_id, key[0], visitor, r.kind, reason is None, reason, used, max(0, cap - used), max(0, per_visitor - (own if visitor else 0))))
         state.update((used, visitors))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run
 
 
-def stream_ledger(requests: DataFrame, limit: int, per_visitor: int) -> DataFrame:
-    """requests: a stream of request_id, ts, day, visitor, kind."""
-    return requests.groupBy("day").applyInPandasWithState(ledger(limit, per_visitor), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_ledger(requests: DataFrame, limit: int, per_visitor: int, keep_ms: int | None = None) -> DataFrame:
+    """requests: a stream of request_id, ts, day, visitor, kind.
+
+    A stream that runs for ever should purge the counters of past days
+    (keep_ms, such as KEEP_MS). Spark then always plans a further batch, so a
+    run that is to end by itself (availableNow) must do without.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return requests.groupBy("day").applyInPandasWithState(ledger(limit, per_visitor, keep_ms), OUT, STATE, "append", timeout)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from clausemill.functions.canonical import canonical
 from clausemill.functions.clauses import segments
@@ -13,6 +14,7 @@ from clausemill.operators.reading import finding_rows, names_of, read_documents,
 from clausemill.operators.segmentation import clause_rows, line_rows, segment_rows
 from clausemill.sources import requests, store
 from clausemill.sources.html import page_text
+from clausemill.streaming.ledger import ledger
 from pyspark.sql import functions as F
 
 
@@ -317,3 +319,60 @@ def test_streams_equal_batches(spark, tmp_path, shuffle):
             own[day, v] += ok
             want[i] = (ok, used[day])
     assert {r.request_id: (r.allowed, r.used) for r in spark.table(f"led{shuffle}").collect()} == want
+
+
+class State:
+    """What the ledger asks of a group's state."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.duration = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.duration = ms
+
+
+def test_counters_of_past_days_are_purged():
+    run, state = ledger(2, 1, keep_ms=5000), State()
+
+    def ask(i):
+        return pd.concat(run(("2026-01-01",), iter([pd.DataFrame({"request_id": [i], "ts": [i], "visitor": ["a"], "kind": ["consume"]})]), state))
+
+    assert ask(1)["allowed"].tolist() == [True] and ask(2)["reason"].tolist() == ["visitor"] and state.duration == 5000
+    state.hasTimedOut = True
+    assert list(run(("2026-01-01",), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    assert ask(3)["allowed"].tolist() == [True]  # a late request starts a new counter
+
+
+def test_quota_against_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 40), f"d{rng.randint(0, 2)}", rng.choice([None, None, "a", "b", "c", "d"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "request_id long, ts long, day string, visitor string")
+    for limit, each in ((25, 3), (0, 3), (7, 100), (1000, 0), (-1, 2)):
+        used, own, want = {}, {}, {}
+        for i, ts, day, visitor in sorted(rows, key=lambda r: (r[1], r[0])):
+            n, v = used.get(day, 0), own.get((day, visitor), 0)
+            reason = "daily" if n >= max(0, limit) else "visitor" if visitor and v >= each else None
+            if reason is None:
+                used[day], own[day, visitor] = n + 1, v + 1
+            left = max(0, each - (own.get((day, visitor), 0) if visitor else 0))
+            want[i] = (reason, used.get(day, 0), max(0, max(0, limit) - used.get(day, 0)), left)
+        decided = quota.decisions(df, limit, each)
+        assert {r.request_id: (r.reason, r.used, r.remaining, r.visitor_remaining) for r in decided.collect()} == want
+        if limit == 25:
+            status = {(r.day, r.visitor): (r.used, r.remaining) for r in quota.visitor_status(decided, each).collect()}
+            assert status == {(d, v): (own.get((d, v), 0), max(0, each - own.get((d, v), 0))) for _, _, d, v in rows if v}
+
+
+def test_salts_are_random(spark):
+    a, b = ({r.day: r.salt for r in quota.new_salts(spark, ["x", "y"]).collect()} for _ in range(2))
+    assert len({*a.values(), *b.values()}) == 4 and all(len(s) == 32 for s in a.values())
