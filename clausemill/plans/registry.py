@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.canonical import fingerprint, with_canonical
-from ..functions.findings import RANK
-from ..operators import analytics, parts, quota, routing, verification
+from ..operators import analytics, parts, quota, reports, routing, verification
 from ..operators.layout import spread
 from ..operators.reading import finding_rows, read_documents, plain_rules, rule_hits, rule_hits_sql, rule_table, top_findings
 from ..operators.segmentation import line_rows, segment_rows
@@ -155,6 +154,18 @@ def checklist(spark, sf_dir):
     return analytics.checklist(found).select("doc_id", "rule_id", "n_clauses", "first_ids")
 
 
+_GROUPS = " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(analytics.GROUPS, 1))
+
+
+@query(f"""WITH t AS MATERIALIZED ({_TOP}), k AS (SELECT doc_id, rule_id, topic, favours, count(*) AS n, min(line_no) AS low, arg_min(rn, line_no) AS rn, string_agg(CAST(line_no AS VARCHAR), ', ' ORDER BY line_no) FILTER (i <= 3) AS ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY line_no) AS i FROM t) GROUP BY doc_id, rule_id, topic, favours),
+p AS (SELECT *, topic || ' ¶ ' || ids || CASE WHEN n > 3 THEN ', …' ELSE '' END AS text FROM k)
+SELECT doc_id, CAST(CASE favours {_GROUPS} END AS INTEGER) AS place, favours, CAST(count(*) AS BIGINT) AS n_kinds, string_agg(text, '; ' ORDER BY low, rn) AS found, CAST(CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS BIGINT) AS VARCHAR) || ' of 53' AS of_all FROM p GROUP BY doc_id, favours""")
+def checklist_groups(spark, sf_dir):
+    found = top_findings(hits(spark, sf_dir), ["doc_id", "line_no"]).withColumnRenamed("line_no", "clause_id")
+    return reports.checklist_groups(analytics.checklist(found), rule_table(spark))
+
+
 @query()
 def clause_labels_exact(spark, sf_dir):
     """Every finding of the exact reading, with verified quotes; rn 1 is the label."""
@@ -178,10 +189,22 @@ def reader_prompts(spark, sf_dir):
     return routing.prompts(rows)
 
 
-_RULE_ROWS = ", ".join(f"('{r.id}', '{r.favours}', {RANK[r.confidence]}, {r.weight}, {len(r.patterns)})" for r in __import__("clausemill.functions.findings", fromlist=["rules"]).rules())
+# Rule, side, number of patterns and weight, written down apart from the library.
+_RULE_ROWS = (
+    "('arbitration', 'them', 6, 95), ('class_waiver', 'them', 5, 90), ('class_action_kept', 'you', 1, 70), ('jury_waiver', 'them', 2, 85), ('release', 'them', 2, 70), ('arbitration_opt_out', 'you', 2, 60), "
+    "('time_limit', 'them', 3, 55), ('venue', 'them', 4, 45), ('local_courts', 'you', 1, 55), ('small_claims', 'you', 1, 40), ('informal_first', 'neutral', 1, 30), ('governing_law', 'neutral', 3, 30), "
+    "('terms_changes', 'them', 2, 70), ('continued_use', 'them', 3, 65), ('changes_need_consent', 'you', 1, 65), ('advance_notice', 'you', 3, 35), ('termination', 'them', 3, 75), ('service_changes', "
+    "'them', 4, 45), ('remove_content', 'them', 1, 40), ('assignment', 'them', 1, 25), ('you_cancel', 'you', 1, 50), ('mutual_termination', 'neutral', 1, 30), ('auto_renewal', 'them', 5, 60), "
+    "('price_changes', 'them', 3, 50), ('no_refunds', 'them', 7, 60), ('extra_fees', 'them', 3, 45), ('expiring_credit', 'them', 1, 40), ('refund_right', 'you', 4, 55), ('liability_cap', 'them', 2, 70), "
+    "('no_liability', 'them', 5, 65), ('no_warranty', 'them', 8, 50), ('warranty', 'you', 2, 50), ('accepts_liability', 'you', 1, 45), ('rights_kept', 'you', 4, 60), ('indemnity', 'them', 2, 80), "
+    "('they_indemnify', 'you', 1, 75), ('account_risk', 'them', 1, 25), ('content_licence', 'them', 2, 80), ('licence_survives', 'them', 1, 70), ('you_own_content', 'you', 3, 65), ('app_licence', "
+    "'neutral', 1, 20), ('data_sale', 'them', 2, 85), ('no_data_sale', 'you', 3, 80), ('data_sharing', 'them', 2, 75), ('data_processors', 'neutral', 2, 30), ('deidentified', 'unclear', 1, 35), "
+    "('ai_training', 'them', 2, 70), ('no_ai_training', 'you', 1, 70), ('tracking', 'them', 5, 50), ('marketing_consent', 'them', 1, 40), ('opt_out', 'you', 2, 55), ('data_rights', 'you', 4, 55), "
+    "('age_limit', 'neutral', 4, 20) "
+)
 
 
-@query(f"SELECT favours, CAST(count(*) AS BIGINT) AS rules, CAST(sum(n) AS BIGINT) AS patterns, CAST(max(weight) AS INTEGER) AS heaviest FROM (VALUES {_RULE_ROWS}) AS r(rule_id, favours, conf, weight, n) GROUP BY favours")
+@query(f"SELECT favours, CAST(count(*) AS BIGINT) AS rules, CAST(sum(n) AS BIGINT) AS patterns, CAST(max(weight) AS INTEGER) AS heaviest FROM (VALUES {_RULE_ROWS}) AS r(rule_id, favours, n, weight) GROUP BY favours")
 def rule_catalogue(spark, sf_dir):
     return rule_table(spark).groupBy("favours").agg(F.count(F.lit(1)).alias("rules"), F.sum("n_patterns").alias("patterns"), F.max("weight").alias("heaviest"))
 
@@ -255,6 +278,30 @@ def stitch_conversations(spark, sf_dir):
     return out.select("conv_id", F.col("part_no").alias("turn"), "offset", "id_base")
 
 
+_SHOWN = "SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL WHEN (conv_id + turn) % 3 = 0 THEN 'cache' ELSE 'model' END AS source, CASE WHEN turn % 2 = 0 THEN 'claude-sample-5' ELSE 'other' END AS model, length(text) AS chars FROM conversations"
+
+
+@query(f"""WITH p AS ({_SHOWN}), r AS (SELECT * FROM p WHERE source IS NOT NULL),
+m AS (SELECT conv_id, CASE model WHEN 'other' THEN 'other' ELSE 'Claude Sample 5' END AS alone, min(turn) AS first, CASE WHEN count(*) = 1 THEN 'part ' ELSE 'parts ' END || string_agg(CAST(turn AS VARCHAR), ', ' ORDER BY turn) AS nos FROM r GROUP BY conv_id, model),
+t AS (SELECT conv_id, count(*) AS n, bool_and(source = 'cache') AS all_cached, coalesce(bool_or(source = 'cache'), false) AS some_cached, coalesce(bool_or(source IS NOT NULL AND model = 'other'), false) AS other FROM p GROUP BY conv_id),
+w AS (SELECT conv_id, string_agg(CASE WHEN n > 1 THEN alone || ' (' || nos || ')' ELSE alone END, ' and ' ORDER BY first) AS who FROM m JOIN t USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN who IS NULL THEN 'Not read.' ELSE CASE WHEN all_cached THEN 'From the cache, read before by ' || who ELSE 'Read by ' || who || CASE WHEN some_cached THEN ', in part from the cache' ELSE '' END END || '.' || CASE WHEN other THEN ' Another model answered where the first declined.' ELSE '' END END AS provenance
+FROM t LEFT JOIN w USING (conv_id)""")
+def reading_sources(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    source = F.when(t % 4 == 3, None).when((c + t) % 3 == 0, "cache").otherwise("model")
+    shown = table(spark, sf_dir, "conversations").select(c, t.alias("part_no"), source.alias("source"), F.when(t % 2 == 0, "claude-sample-5").otherwise("other").alias("model"))
+    return reports.provenance(shown, "claude-sample-5", "conv_id")
+
+
+@query(f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_parts, CAST(sum(chars) AS BIGINT) AS chars, CAST(least(40 - conv_id % 41, 8 - conv_id % 9) AS BIGINT) AS "left", count(*) <= least(40 - conv_id % 41, 8 - conv_id % 9) AS enough FROM ({_SHOWN}) GROUP BY conv_id""")
+def reading_plans(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("part_no"), F.length("text").cast("long").alias("chars"))
+    c = F.col("conv_id")
+    left = turns.select("conv_id").distinct().withColumn("left", reports.readings_left(40 - c % 41, 8 - c % 9).cast("long"))
+    return reports.reading_plan(turns, left, "conv_id").select("conv_id", "n_parts", "chars", "left", "enough")
+
+
 @query()
 def document_parts(spark, sf_dir):
     """All documents in parts of at most 10,000 units."""
@@ -313,9 +360,14 @@ def quota_by_day(spark, sf_dir):
     return quota.day_status(quota.decisions(requests(spark, sf_dir), 40, 3), 40)
 
 
-@query()
+def _pad_sql(byte: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(CASE WHEN i <= 32 THEN ascii(substr(salt, CAST(i AS BIGINT), 1)) ELSE 0 END, {byte}))), ''))"
+
+
+@query(f"""SELECT day, visitor, CASE WHEN visitor <> '' THEN substr(sha256({_pad_sql(0x5C)} || unhex(sha256({_pad_sql(0x36)} || encode(visitor)))), 1, 32) END AS name
+FROM (SELECT DISTINCT day, visitor, substr(sha256(day), 1, 32) AS salt FROM ({_REQUESTS}))""")
 def visitor_names(spark, sf_dir):
-    """Pseudonyms of visitors by day (HMAC-SHA256); tests hold them against the standard library."""
+    """Pseudonyms of visitors by day (HMAC-SHA256). So that reruns agree the salts follow from the days here; quota.new_salts draws them."""
     r = requests(spark, sf_dir).select("day", "visitor").distinct()
     return r.withColumn("name", quota.visitor_name(F.substring(F.sha2("day", 256), 1, 32), F.col("visitor")))
 
