@@ -16,6 +16,7 @@ from ..operators.segmentation import line_rows, segment_rows
 from ..sources import store
 from ..sources.html import html_text
 from .planted import TERMS_SQL, lines_sql, terms
+from .segments_sql import segments_sql
 
 FLAGSHIP = "clause_labels_exact"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,7 @@ def dedup_by_fingerprint(spark, sf_dir):
 # ------------------------------------------------------------------ segmentation
 
 _LINES = lines_sql(TERMS_SQL)
+_SEGMENTS = segments_sql(_canonical_sql(TERMS_SQL))
 
 
 @query(f'SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, start, "end", sha256(body) AS body_key FROM ({_LINES})')
@@ -89,13 +91,13 @@ def line_offsets(spark, sf_dir):
     return line_rows(terms(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start", "end", F.sha2("body", 256).alias("body_key"))
 
 
-@query()
+@query(f'SELECT doc_id, seg_no, kind, start, "end", clause_id FROM ({_SEGMENTS})')
 def clause_segments(spark, sf_dir):
-    """Exact segments of all documents; tests hold them against expectations and invariants."""
+    """Exact segments of all documents."""
     return segment_rows(with_canonical(terms(spark, sf_dir).select("doc_id", "text"))).select("doc_id", "seg_no", "kind", "start", "end", "clause_id")
 
 
-@query()
+@query(f"SELECT lang, CAST(count(*) FILTER (kind = 'clause') AS BIGINT) AS clauses, CAST(count(*) FILTER (kind = 'heading') AS BIGINT) AS headings, CAST(max(length(body)) AS INTEGER) AS longest FROM ({_SEGMENTS}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
 def clause_stats_by_lang(spark, sf_dir):
     rows = segment_rows(with_canonical(terms(spark, sf_dir).select("doc_id", "text"))).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(F.count_if(F.col("kind") == "clause").alias("clauses"), F.count_if(F.col("kind") == "heading").alias("headings"), F.max(F.length("body")).alias("longest"))
@@ -183,7 +185,11 @@ def response_payloads(spark, sf_dir):
     return store.payloads(read_documents(terms(spark, sf_dir)), "seg-2/rules-1")
 
 
-@query()
+_CALM = "regexp_replace(body, '(?i)<(\\s*/?\\s*document\\b)', '&lt;\\1', 'g')"
+
+
+@query(f"""SELECT doc_id, '<document>' || chr(10) || string_agg(CASE WHEN kind = 'heading' THEN '§ ' || {_CALM} ELSE '[' || CAST(clause_id AS VARCHAR) || '] ' || {_CALM} END, chr(10) ORDER BY seg_no) || chr(10) || '</document>' || chr(10)
+  || 'Annotate clauses ' || CAST(coalesce(min(clause_id), 1) AS VARCHAR) || ' to ' || CAST(coalesce(min(clause_id), 1) + count(clause_id) - 1 AS VARCHAR) || ': ' || CAST(count(clause_id) AS VARCHAR) || ' entries, one per clause.' AS prompt FROM ({_SEGMENTS}) GROUP BY doc_id""")
 def reader_prompts(spark, sf_dir):
     rows = segment_rows(with_canonical(terms(spark, sf_dir).select("doc_id", "text")))
     return routing.prompts(rows)
