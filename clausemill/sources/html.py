@@ -72,8 +72,9 @@ def page_text(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def html_text(html: Column) -> Column:
-    def run(pages: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else page_text(x) for x in pages.to_pylist()], pa.string())
+def texts_of_pages(pages: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else page_text(x) for x in pages.to_pylist()], pa.string())
+
 
-    return F.arrow_udf(run, "string")(html)
+def html_text(html: Column) -> Column:
+    return F.arrow_udf(texts_of_pages, "string")(html)

@@ -21,12 +21,18 @@ def bodies_of(chunks: DataFrame, cap: int = BODY_BYTES) -> DataFrame:
 
 
 def parsed_requests(requests: DataFrame) -> DataFrame:
-    """requests (request_id, method, path, content_type, body) with text, status and error; status 200 where all is well."""
-    text = F.try_validate_utf8(F.col("body").cast("string"))
+    """requests (request_id, method, path, content_type, body) with text, status and error; status 200 where all is well.
+
+    If there is a column content_length, a request that states too large a one
+    is refused before its body is looked at.
+    """
+    body = F.when(F.col("content_length").isNull() | (F.col("content_length") <= BODY_BYTES), F.col("body")) if "content_length" in requests.columns else F.col("body")
+    text = F.try_validate_utf8(body.cast("string"))
     json = F.try_parse_json(text)
     value = F.try_variant_get(json, "$.text", "variant")
     is_text = F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
     api = F.col("path") == "/api/analyze"
+    stated = F.coalesce(F.col("content_length") > BODY_BYTES, F.lit(False)) if "content_length" in requests.columns else F.lit(False)
     status, error = F.lit(200), F.lit(None).cast("string")
     for bad, code, name in reversed(
         [
@@ -34,6 +40,7 @@ def parsed_requests(requests: DataFrame) -> DataFrame:
             (F.col("method") == "OPTIONS", 204, None),
             (api & (F.col("method") != "POST") | ~api & (F.col("method") != "GET"), 405, "method_not_allowed"),
             (api & ~F.coalesce(F.lower("content_type"), F.lit("")).startswith("application/json"), 415, "unsupported_media_type"),
+            (api & stated, 413, "too_large"),
             (api & (F.col("body").isNull() | (F.octet_length("body") > BODY_BYTES)), 413, "too_large"),
             (api & json.isNull(), 400, "bad_json"),
             (api & ~is_text, 400, "bad_request"),
