@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.canonical import fingerprint, with_canonical
 from ..functions.clauses import segments
 from ..functions.findings import KEPT, RANK, company_names, expand, needed_literals, read, rules
+from ..functions.rule_values import RULES
 
 FINDING = "rule string, topic string, favours string, confidence string, reading string, quote_start int, quote_end int"
 READING = (
@@ -28,31 +29,43 @@ _READING = pa.struct(
 )
 
 
-def _read_all(texts: pa.Array) -> pa.Array:
+def _read_all(texts: pa.Array, library: tuple = RULES) -> pa.Array:
     out = []
     for x in texts.to_pylist():
         if x is None:
             out.append(None)
             continue
         parts = segments(x)
-        found = read(x, parts)
+        found = read(x, parts, library)
         found["dropped_reasons"] = list(found["dropped_reasons"].items())
         out.append(found | {"segments": [{"kind": s.kind, "start": s.start, "end": s.end, "clause_id": s.id} for s in parts]})
     return pa.array(out, _READING)
 
 
-def reading_of(text: Column) -> Column:
-    return F.arrow_udf(_read_all, READING)(text)
+def reading_of(text: Column, library: tuple = RULES) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return _read_all(texts, library)
+
+    return F.arrow_udf(run, READING)(text)
+
+
+def library_of(rows: DataFrame) -> tuple:
+    """Rules written as a table (rule_no, rule_id, topic, favours, confidence, weight, negatable, not_you, strong, unless, patterns: array of struct<pattern, confidence>), in the form that read_documents takes. A library is some hundred rows."""
+    out = []
+    for r in rows.orderBy("rule_no").collect():
+        flags = " ".join(f for f in ("negatable", "not_you") if r[f])
+        out.append((r.rule_id, r.topic, r.favours, r.confidence, r.weight, flags, r.strong, r.unless, tuple((p.pattern, p.confidence or r.confidence) for p in r.patterns)))
+    return tuple(out)
 
 
-def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (canonical), sha256 and reading of every document. Equal texts are read once, and found by their fingerprint."""
+def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", library: tuple = RULES) -> DataFrame:
+    """id, text (canonical), sha256 and reading of every document. Equal texts are read once, and found by their fingerprint. library: other rules than the engine's own, or more."""
     own = with_canonical(docs.select(id_col, F.col(text_col).alias("text")))
     own = own.withColumn("sha256", fingerprint(F.col("text")))
     # A stated number of partitions isn't coalesced by size: reading costs far more than the bytes suggest.
     session = docs.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    once = own.select("sha256", "text").repartition(n, "sha256").dropDuplicates(["sha256"]).select("sha256", reading_of(F.col("text")).alias("reading"))
+    once = own.select("sha256", "text").repartition(n, "sha256").dropDuplicates(["sha256"]).select("sha256", reading_of(F.col("text"), library).alias("reading"))
     return own.join(once, "sha256", "left").select(id_col, "text", "sha256", "reading")
 
 
