@@ -113,7 +113,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(starts) > 1:
                     gaps = (ends[:-1, None] + np.arange(2)).ravel()
                     codes = np.delete(codes, gaps)
-                leaves += np.bincount(codes, minlength=LEAVES).astype(np.uint32)
+                seen, n = np.unique(codes, return_counts=True)
+                leaves[seen] += n.astype(np.uint32)
             parts.append(np.unique(np.concatenate([token_hashes(t) for t in texts]), return_counts=True))
             held += len(parts[-1][0])
             if held > HELD:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from clausemill.llm import simhash
 from clausemill.llm.simhash import bucket_links, components, fingerprint, fuzzy_keys, golay_keys, near_duplicates, one_of_each, walk_links
@@ -133,3 +134,23 @@ def test_one_of_each_keeps_columns(spark):
     prints = [(d, plain(t)) for d, t, *_ in rows]
     assert kept.count() == len(set(plain_components([(i, p) for i, (_, p) in enumerate(prints)])))
     assert one_of_each(df.limit(0)).count() == 0 and near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_long_text():
+    rng = random.Random(8)
+    text = " ".join(rng.choices("Alpha beta GAMMA é x1".split(), k=200_000))
+    assert fingerprint(text) == plain(text)
+
+
+def test_buckets_that_span_batches():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(0, 60))
+        rows = sorted(set(zip(rng.integers(0, rng.integers(1, 8), n).tolist(), (rng.integers(0, 8, n) | rng.integers(0, 2, n) << 40).tolist())))
+        cuts = [0, *sorted(rng.integers(0, len(rows) + 1, 3).tolist()), len(rows)]
+
+        def links(parts):
+            batches = (pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([f for _, f in p], pa.int64())], names=["key", "fp"]) for p in parts)
+            return {pair for b in simhash._links(batches) for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+        assert links([rows[a:b] for a, b in zip(cuts, cuts[1:])]) == links([rows])
